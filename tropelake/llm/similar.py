@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from ._base import unit, vectors_of
 from .top_n import top_n_per_group
 
-LEAF, CHUNK = 192, 4096
+LEAF, CHUNK = 128, 4096
+#: Length of the second projection, which keeps most far pairs from being verified.
+SKETCH = 24
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -70,29 +72,23 @@ class Cells:
         return row, node - (1 << self.depth), own
 
 
-class KdTree:
-    """Leaves of rows that lie together, with their bounding boxes.  Rows equal in every axis keep their order."""
-
-    def __init__(self, rows: np.ndarray):
-        order, todo, bounds = np.arange(len(rows)), [(0, len(rows))] if len(rows) else [], []
-        while todo:
-            a, b = todo.pop()
-            part = rows[order[a:b]]
-            if b - a <= LEAF:
-                bounds.append((a, b))
-                continue
-            axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
-            order[a:b] = order[a:b][np.argsort(part[:, axis], kind="stable")]
-            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
-        self.order, self.bounds = order, bounds
-        self.rows = np.ascontiguousarray(rows[order])
-        self.square = np.einsum("ij,ij->i", self.rows, self.rows)
-        self.low = np.array([self.rows[a:b].min(axis=0) for a, b in bounds]).reshape(len(bounds), rows.shape[1])
-        self.high = np.array([self.rows[a:b].max(axis=0) for a, b in bounds]).reshape(len(bounds), rows.shape[1])
+def kd_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which kd-tree leaves are stretches of rows, and where they start.  Rows equal in every axis keep their order."""
+    order, todo, starts = np.arange(len(rows)), [(0, len(rows))] if len(rows) else [], []
+    while todo:
+        a, b = todo.pop()
+        if b - a <= LEAF:
+            starts.append(a)
+            continue
+        part = rows[order[a:b]]
+        axis = int((part.max(axis=0) - part.min(axis=0)).argmax())
+        order[a:b] = order[a:b][np.argsort(part[:, axis], kind="stable")]
+        todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+    return order, np.array(starts, int)
 
 
 class Found:
-    """The k nearest so far of each row: squared distances, ascending, and the neighbours' numbers."""
+    """The k nearest so far of each row: squared distances, ascending, and the neighbours' identifiers."""
 
     def __init__(self, n: int, k: int, bound: float):
         self.square = np.full((n, k), bound)
@@ -114,48 +110,76 @@ class Found:
         self.square[rows], self.who[rows] = square[take], who[take]
 
 
-def search(tree: KdTree, wide: np.ndarray, ids: np.ndarray, queries: KdTree, q_wide: np.ndarray, q_ids: np.ndarray, found: Found, factor: float) -> None:
-    """Nearest rows of ``tree``, whose unit vectors are ``wide``, for the rows of ``queries``, leaf by leaf.
+class Points:
+    """Rows of a cell in the order of their kd-tree, with its leaves' boxes, two projections and what was found for each."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, project: np.ndarray, sketch: np.ndarray, k: int, bound: float):
+        low = (rows @ project).astype(np.float32)
+        order, self.starts = kd_order(low)
+        low, self.ids, self.rows = low[order], ids[order], rows[order]
+        self.ends = np.r_[self.starts[1:], len(ids)] if len(ids) else self.starts
+        self.low = np.minimum.reduceat(low, self.starts) if len(ids) else low
+        self.high = np.maximum.reduceat(low, self.starts) if len(ids) else low
+        square, one = np.einsum("ij,ij->i", low, low)[:, None], np.ones((len(ids), 1), np.float32)
+        self.left, self.right = np.hstack([low, square, one]), np.hstack([-2 * low, one, square])
+        self.sketch = (self.rows @ sketch).astype(np.float32)
+        self.found = Found(len(ids), k, bound)
+
+    def reach(self) -> np.ndarray:
+        """Of each leaf the largest k-th squared distance so far."""
+        return np.maximum.reduceat(self.found.square[:, -1], self.starts)
 
-    The leaves of the tree are taken in order of the distance between the boxes.  A row is verified when its
-    projected squared distance is below ``factor`` times the query's k-th squared distance so far; when that is below
-    the next box for every query of the leaf, the chi-square test holds and the search ends.
+
+def search(a: Points, b: Points, factor: float, sketch_factor: float, bound: float) -> None:
+    """Nearest rows of ``b`` for those of ``a`` and the other way round; ``a`` may be ``b``.
+
+    Each leaf of ``a`` takes the leaves of ``b`` in order of the distance between their boxes.  A pair is looked at
+    when its projected squared distance is at most ``factor`` times the k-th squared distance so far of either row, and
+    verified when a second, longer projection agrees; a pair of leaves is left out, and with that the search of their
+    rows ends, when the boxes' distance passes that test for every row of both: the chi-square test.
     """
-    if not tree.bounds or not queries.bounds:
+    if not len(a.starts) or not len(b.starts):
         return
-    stored, q_full = wide[tree.order].astype(np.float32), q_wide.astype(np.float32)
-    names = ids[tree.order]
-    for (a, b), low, high in zip(queries.bounds, queries.low, queries.high):
-        mine = queries.order[a:b]
-        gap = np.maximum(0, np.maximum(tree.low - high, low - tree.high))
+    for leaf, (low, high) in enumerate(zip(a.low, a.high)):
+        mine = slice(a.starts[leaf], a.ends[leaf])
+        gap = np.maximum(0, np.maximum(b.low - high, low - b.high))
         box = np.einsum("ij,ij->i", gap, gap)
-        order = np.argsort(box, kind="stable")
-        at, chunk = 0, 1024  # the first step is small, to get a bound
-        while at < len(order):
-            limit = factor * found.square[mine, -1]
-            reach = limit.max() + 1e-5
-            upto, size = at, 0
-            while upto < len(order) and size < chunk and box[order[upto]] <= reach:
-                size += tree.bounds[order[upto]][1] - tree.bounds[order[upto]][0]
-                upto += 1
-            if upto == at:
+        left = np.argsort(box, kind="stable")
+        if a is b:
+            left = left[left >= leaf]
+        chunk = 1024  # the first step is small, to get a bound
+        while len(left):
+            kth = a.found.square[mine, -1]
+            left = left[box[left] <= factor * np.maximum(kth.max(), b.reach()[left]) + 1e-5]
+            take = max(1, int(np.searchsorted(np.cumsum(b.ends[left] - b.starts[left]), chunk)))
+            now, left, chunk = np.sort(left[:take]), left[take:], CHUNK
+            if not len(now):
                 break
-            where = np.concatenate([np.arange(*tree.bounds[x]) for x in np.sort(order[at:upto])])
-            at, chunk = upto, CHUNK
-            far = queries.square[a:b, None] + tree.square[where] - 2 * (queries.rows[a:b] @ tree.rows[where].T)
-            hit = far <= limit[:, None] + 1e-5
-            q, c = np.nonzero(hit)
-            if len(q) > 0.2 * hit.size:
-                dot = (q_full[mine] @ stored[where].T)[q, c]
-            elif len(q):
-                dot = np.concatenate([np.einsum("ij,ij->i", q_full[mine[q[x : x + 65536]]], stored[where[c[x : x + 65536]]]) for x in range(0, len(q), 65536)])
+            where = np.concatenate([np.arange(b.starts[x], b.ends[x]) for x in now])
+            far = a.left[mine] @ b.right[where].T
+            other = b.found.square[where, -1]
+            if kth.min() == bound or other.min() == bound:
+                hit = far <= factor * bound + 1e-5
             else:
-                continue
-            keep = (2 - 2 * dot <= found.square[mine[q], -1] + 1e-5) & (names[where[c]] != q_ids[mine[q]])
-            q, c = mine[q[keep]], where[c[keep]]
-            if len(q):
-                exact = 2 - 2 * np.einsum("ij,ij->i", q_wide[q], wide[tree.order[c]])
-                found.add(q, names[c], np.maximum(exact, 0))
+                hit = (far <= factor * kth[:, None] + 1e-5) | (far <= factor * other + 1e-5)
+            q, c = np.divmod(np.flatnonzero(hit.ravel()), hit.shape[1])
+            q, c = q + a.starts[leaf], where[c]
+            if a is b:
+                q, c = q[q < c], c[q < c]
+            for at in range(0, len(q), 65_536):
+                _verify(a, b, q[at : at + 65_536], c[at : at + 65_536], sketch_factor)
+
+
+def _verify(a: Points, b: Points, q: np.ndarray, c: np.ndarray, sketch_factor: float) -> None:
+    most = np.maximum(a.found.square[q, -1], b.found.square[c, -1])
+    step = a.sketch[q] - b.sketch[c]
+    keep = np.einsum("ij,ij->i", step, step) <= sketch_factor * most + 1e-5
+    q, c, most = q[keep], c[keep], most[keep]
+    square = np.maximum(2 - 2 * np.einsum("ij,ij->i", a.rows[q], b.rows[c]), 0)
+    keep = square <= most + 1e-8
+    q, c, square = q[keep], c[keep], square[keep]
+    a.found.add(q, b.ids[c], square)
+    b.found.add(c, a.ids[q], square)
 
 
 def _sample(dim: int, project: np.ndarray):
@@ -195,7 +219,7 @@ def _route(dim: int, project: np.ndarray, cells: Cells, sigma: float, least: flo
             row, cell, own = cells.visits(unit(rows) @ project, sigma, least)
             home = np.zeros(len(rows), int)
             home[row[own]] = cell[own]
-            keep = own | (cell > home[row])  # of two cells, the rows of one visit the other
+            keep = own | ((cell > home[row]) == ((cell + home[row]) % 2 == 0))  # of two cells, the rows of one visit the other
             row, cell, own = row[keep], cell[keep], own[keep]
             for at in range(0, len(row), 8192):
                 take = pa.array(row[at : at + 8192])
@@ -204,19 +228,17 @@ def _route(dim: int, project: np.ndarray, cells: Cells, sigma: float, least: flo
     return run
 
 
-def _search_cell(dim: int, k: int, project: np.ndarray, factor: float, bound: float):
+def _search_cell(dim: int, k: int, project: np.ndarray, sketch: np.ndarray, factor: float, sketch_factor: float, bound: float):
     """Rows of one partition hold whole cells, sorted by cell and identifier."""
 
     def cell(ids: np.ndarray, own: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
         wide = unit(vec)
-        low = (wide @ project).astype(np.float32)
-        parts = [(ids[m], wide[m], KdTree(low[m]), Found(int(m.sum()), k, bound)) for m in (own, ~own)]
-        for q, t in ((0, 0), (0, 1), (1, 0)):
-            (q_ids, q_wide, q_tree, q_found), (t_ids, t_wide, t_tree, _) = parts[q], parts[t]
-            search(t_tree, t_wide, t_ids, q_tree, q_wide, q_ids, q_found, factor)
-        for who, _, _, found in parts:
-            r, c = np.nonzero(found.who >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(who[r]), pa.array(found.who[r, c]), pa.array(1 - found.square[r, c] / 2)], names=["id", "other", "similarity"])
+        home, guests = (Points(ids[m], wide[m], project, sketch, k, bound) for m in (own, ~own))
+        search(home, home, factor, sketch_factor, bound)
+        search(guests, home, factor, sketch_factor, bound)
+        for p in (home, guests):
+            r, c = np.nonzero(p.found.who >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(p.ids[r]), pa.array(p.found.who[r, c]), pa.array(1 - p.found.square[r, c] / 2)], names=["id", "other", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -239,14 +261,14 @@ def _search_cell(dim: int, k: int, project: np.ndarray, factor: float, bound: fl
     return run
 
 
-def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_similarity: float = 0.95, m: int = 8, certainty: float = 0.99, route_least: float = 0.004, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_similarity: float = 0.95, m: int = 12, certainty: float = 0.99, route_least: float = 0.004, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """For every record the ``k`` others with the largest cosine of at least ``min_similarity``: ``ident``, ``other``, ``similarity``, ``rank``.
 
     1. Records with the same vector become one class, named by its smallest identifier (a partial aggregation, so a
        third of all rows may be copies).  Repeated rows of an identifier fall together there.
     2. ``m`` Gaussian projections of a sample of about ``sample_rows`` rows give the upper part of a kd-tree, with a
-       cell for about ``cell_rows`` classes.  Every class goes to its own cell and, of the higher-numbered cells, to
-       those where a neighbour at ``min_similarity`` lies with a probability of at least ``route_least``.
+       cell for about ``cell_rows`` classes.  Every class goes to its own cell and visits those where a neighbour at
+       ``min_similarity`` lies with a probability of at least ``route_least``; of two cells only one's rows visit the other.
     3. In a cell the search runs leaf by leaf in order of projected distance until the chi-square test of certainty
        ``certainty`` holds for the k-th neighbour so far.
     4. Lists of different cells are joined and classes replaced by their members.
@@ -258,8 +280,8 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
     """
     if m % 2:
         raise ValueError("m must be even")
-    project, bound = projection(dim, m, seed), 2 - 2 * min_similarity
-    factor = chi_square_quantile(certainty, m)
+    project, sketch, bound = projection(dim, m, seed), projection(dim, SKETCH, seed + 1), 2 - 2 * min_similarity
+    factor, sketch_factor = chi_square_quantile(certainty, m), chi_square_quantile(0.999, SKETCH)
     rows = df.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), F.col(f"`{emb}`").alias("emb"))
     total = df.count()
     drawn = rows.select("emb").sample(min(1.0, sample_rows / max(1, total)), seed).mapInArrow(_sample(dim, project), "p BINARY").toPandas()["p"]
@@ -270,7 +292,7 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
     keyed = rows.mapInArrow(_keyed(dim), "id BIGINT, key BIGINT, vec BINARY")
     classes = keyed.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("r")).select("r.id", "r.vec")
     routed = classes.mapInArrow(_route(dim, project, cells, math.sqrt(bound), route_least), "cell INT, own BOOLEAN, id BIGINT, vec BINARY")
-    near = routed.repartition(1 << depth, "cell").sortWithinPartitions("cell", "id").mapInArrow(_search_cell(dim, k, project, factor, bound), "id BIGINT, other BIGINT, similarity DOUBLE")
+    near = routed.repartition(1 << depth, "cell").sortWithinPartitions("cell", "id").mapInArrow(_search_cell(dim, k, project, sketch, factor, sketch_factor, bound), "id BIGINT, other BIGINT, similarity DOUBLE")
 
     members = rows.mapInArrow(_keys_only(dim), "id BIGINT, key BIGINT").distinct()
     named = members.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
