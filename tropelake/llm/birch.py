@@ -250,10 +250,10 @@ def _across(found: list, dim: int, least: float) -> tuple[list[tuple], np.ndarra
     return [feats[i] for i in keep], sums[keep]
 
 
-def _assign(dim: int, feats: list[tuple], centres: np.ndarray, least: float, id_type: pa.DataType):
+def _assign(dim: int, feats: list[tuple], centres: np.ndarray, least: float):
     """Each record's best agreeing centre and the cosine to it, where that is at least ``least``."""
     codes = [{v: i + 1 for i, v in enumerate(dict.fromkeys(f[j] for f in feats if f[j] is not None))} for j in range(len(feats[0]))] if feats else []
-    own = np.array([[c.get(x, 0) for c, x in zip(codes, f)] for f in feats]).reshape(len(feats), -1)
+    own = np.array([[c.get(x, 0) for c, x in zip(codes, f)] for f in feats]).reshape(len(feats), len(codes))
     centres = centres / np.linalg.norm(centres, axis=1, keepdims=True) if len(centres) else centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def cluster_members(df: DataFrame, ident: str, emb: str, features: list[Column],
         raise ValueError(f"more than {max_candidates} candidate clusters; raise max_candidates")
     feats, sums = _across(found, dim, join)
     id_type = rows.schema["id"].dataType
-    assigned = rows.mapInArrow(_assign(dim, feats, sums, member, None), f"id {id_type.simpleString()}, cluster INT, similarity DOUBLE")
+    assigned = rows.mapInArrow(_assign(dim, feats, sums, member), f"id {id_type.simpleString()}, cluster INT, similarity DOUBLE")
     once = assigned.groupBy("id").agg(F.max(F.struct("similarity", "cluster")).alias("best")).select("id", "best.cluster", "best.similarity")
     sizes = once.groupBy("cluster").agg(F.min("id").alias("first"), F.count("*").alias("size")).where(F.col("size") >= min_members)
     return once.join(sizes, "cluster").select(F.col("id").alias(ident), "cluster", "similarity", "first", "size")
