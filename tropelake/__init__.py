@@ -1,0 +1,8 @@
+"""Spark-native analysis of figurative language in large text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
