@@ -1,7 +1,5 @@
 """Operators on small tables: hand-computed answers and properties."""
 
-import json
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -185,7 +183,7 @@ def test_document_features(spark):
 
 def test_paths_of_a_small_sentence(spark):
     toks = df(spark, [("d", 0, 0, "They", "PRON", 1, "nsubj"), ("d", 0, 1, "flood", "VERB", -1, "root"), ("d", 0, 2, "borders", "NOUN", 1, "dobj")], "doc_id STRING, sent_idx INT, tok_idx INT, text STRING, pos STRING, head INT, dep STRING")
-    found = nlp.match_paths(nlp.paths(toks, nlp.candidate_sentences(toks)), nlp.grammar(spark, verbs_only=False))
+    found = nlp.match_paths(nlp.paths(nlp.tokens_by_sentence(toks).where(nlp.is_candidate(F.col('t')))), nlp.grammar(spark, verbs_only=False))
     assert {(r["source"], r["target"], r["path_id"]) for r in found.collect()} == {(1, 0, 2), (1, 2, 1)}
     (pair,) = nlp.candidate_pairs(found.where("path_id = 1")).collect()
     assert pair["met_id"] == "d_0_1_2" and pair["met_paths"] == [1]
@@ -193,8 +191,7 @@ def test_paths_of_a_small_sentence(spark):
 
 def test_three_slot_paths_and_both_directions(spark):
     toks = df(spark, [("d", 0, 0, "driven", "VERB", -1, "root"), ("d", 0, 1, "by", "ADP", 0, "agent"), ("d", 0, 2, "fear", "PROPN", 1, "pobj"), ("d", 1, 0, "tax", "NOUN", 1, "compound"), ("d", 1, 1, "burden", "NOUN", -1, "root")], "doc_id STRING, sent_idx INT, tok_idx INT, text STRING, pos STRING, head INT, dep STRING")
-    every = toks.select("doc_id", "sent_idx").distinct()
-    found = nlp.match_paths(nlp.paths(toks, every), nlp.grammar(spark, verbs_only=False)).collect()
+    found = nlp.match_paths(nlp.paths(nlp.tokens_by_sentence(toks)), nlp.grammar(spark, verbs_only=False)).collect()
     assert {(r["sent_idx"], r["source"], r["target"], r["path_id"]) for r in found} == {(0, 0, 2, 6), (1, 1, 0, 3), (1, 0, 1, 8)}
 
 
@@ -210,14 +207,15 @@ def test_parser_offsets_and_mentions(spark):
     assert [(r["chain_id"], r["mention_idx"]) for r in nlp.one_mention_per_sentence(mentions).orderBy("chain_id").collect()] == [("c1", 0), ("c2", 0)]
 
 
-def flaky(frames):
-    for frame in frames:
-        import pandas as pd
+def test_annotation_resumes_and_gives_up(spark):
+    def flaky(frames):
+        import json
 
-        yield pd.DataFrame({"id": frame["id"], "answer": [None if i == "b" else "{bad" if i == "c" else json.dumps({"noun_classification": "place"}) for i in frame["id"]]})
+        import pandas as pd
 
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "answer": [None if i == "b" else "{bad" if i == "c" else json.dumps({"noun_classification": "place"}) for i in frame["id"]]})
 
-def test_annotation_resumes_and_gives_up(spark):
     items = df(spark, [("a", "x"), ("b", "y"), ("c", "z"), ("d", "w")], "id STRING, t STRING")
     done = df(spark, [("d",)], "id STRING")
     got = {r["id"]: r["annotation"] for r in annotate.annotate(items, "id", F.col("t"), "noun_type", flaky, done, retries=2).collect()}

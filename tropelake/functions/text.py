@@ -7,6 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+_SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 #: Unicode whitespace, in a notation that Java and RE2 share.
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
@@ -118,7 +121,7 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(_SPANS)
 def word_spans(texts: pd.Series, sought: pd.Series) -> pd.Series:
     """Places where a word stands by itself, whatever its case."""
     out = []
@@ -149,7 +152,7 @@ def chunks(limit: int = 42_000):
             at = stop
         return [*out, text[at:].strip()] if len(text) > limit else [text]
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else ends(t))
 

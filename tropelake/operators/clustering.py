@@ -16,12 +16,12 @@ from .constraints import eligible_rows, violation_count
 
 
 def kmeans(df: DataFrame, vector: str, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 300) -> tuple[DataFrame, np.ndarray, float]:
-    """Rows with ``label``, the centres (k × d, on the driver) and the cost of the best of several starts."""
-    rows = df.withColumn("__v", array_to_vector(wide(F.col(vector)))).persist()
+    """Rows with a new ``label``, the centres (k × d, on the driver) and the cost of the best of several starts."""
+    rows = df.select(array_to_vector(wide(F.col(vector))).alias("__v")).persist()
     models = (KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="__v", predictionCol="label").fit(rows) for r in range(restarts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     rows.unpersist()
-    labelled = best.transform(df.withColumn("__v", array_to_vector(wide(F.col(vector))))).drop("__v")
+    labelled = best.transform(df.drop("label").withColumn("__v", array_to_vector(wide(F.col(vector))))).drop("__v")
     return labelled, np.array(best.clusterCenters()), float(best.summary.trainingCost)
 
 
@@ -72,7 +72,7 @@ def lloyd(df: DataFrame, ident: str, vector: str, centers: np.ndarray, max_iter:
 
 
 def _means(df: DataFrame, labels: DataFrame, ident: str, vector: str, old: np.ndarray) -> np.ndarray:
-    rows = df.join(labels.select(ident, "label"), ident).groupBy("label").agg(mean_vector(F.col(vector)).alias("m")).collect()  # k rows
+    rows = df.select(ident, vector).join(labels.select(ident, "label"), ident).groupBy("label").agg(mean_vector(F.col(vector)).alias("m")).collect()  # k rows
     out = old.copy()
     for r in rows:
         out[r["label"]] = r["m"]
@@ -141,7 +141,7 @@ def constrained_labels(df: DataFrame, ident: str, vector: str, group: str, cente
 
 def constrained_labels_parallel(df: DataFrame, labels: DataFrame, ident: str, vector: str, group: str, centers: np.ndarray, w_cl: float) -> DataFrame:
     """A Jacobi step: every row's cost counts all rows of the previous labels instead of those before it, so rows are independent.  The counters come from an aggregation and are k × groups numbers."""
-    known = df.join(labels.select(ident, "label"), ident).where(F.col(group).isNotNull()).groupBy("label", F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n")).collect()
+    known = df.select(ident, group).join(labels.select(ident, "label"), ident).where(F.col(group).isNotNull()).groupBy("label", F.col(group).cast("string").alias("g")).agg(F.count("*").alias("n")).collect()
     k = len(centers)
     total, by = np.zeros(k), {}
     for r in known:
@@ -236,16 +236,14 @@ def without_top_components(df: DataFrame, ident: str, vector: str, components: i
 
 def tfidf(df: DataFrame, ident: str, words: str, size: int = 1 << 12) -> DataFrame:
     """``ident`` and ``vector``: unit tf-idf with idf = ln((1 + n) / (1 + df)) + 1, over the ``size`` most frequent words."""
-    from pyspark.ml.feature import CountVectorizer, Normalizer
+    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
 
-    model = CountVectorizer(inputCol=words, outputCol="tf", vocabSize=size).fit(df)
-    rows = model.transform(df)
+    model = CountVectorizer(inputCol="__words", outputCol="__tf", vocabSize=size).fit(df.select(F.col(words).alias("__words")))
+    rows = model.transform(df.select(F.col(ident).alias("__id"), F.col(words).alias("__words")))
     n = rows.count()
-    seen = dict(rows.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").count().where(F.col("w").isin(model.vocabulary)).collect())
+    seen = dict(rows.select(F.explode(F.array_distinct("__words")).alias("w")).groupBy("w").count().where(F.col("w").isin(model.vocabulary)).collect())
     idf = np.array([np.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in model.vocabulary])
-    from pyspark.ml.feature import ElementwiseProduct
-    from pyspark.ml.linalg import Vectors
-
-    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="w").transform(rows)
-    return Normalizer(inputCol="w", outputCol="u").transform(weighted).select(ident, vector_to_array("u").alias("vector"))
+    weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__w").transform(rows)
+    return Normalizer(inputCol="__w", outputCol="__u").transform(weighted).select(F.col("__id").alias(ident), vector_to_array("__u").alias("vector"))

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOUNS = ("NOUN", "PROPN", "PRON")
@@ -108,23 +108,58 @@ def grammar(spark: SparkSession, verbs_only: bool = True) -> DataFrame:
     return spark.createDataFrame(rows, "path_id INT, len INT, n1 STRING, n2 STRING, n3 STRING, d1 STRING, d2 STRING, s_at INT, t_at INT")
 
 
-def paths(tokens_: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Dependency paths of two and three tokens between tokens in sentence order, by joins of edges within sentences.
+def grammar_bounds(verbs_only: bool = True) -> tuple[list[str], list[str]]:
+    """The dependencies and the parts of speech of middle tokens that occur in the grammar."""
+    parts = [text.split() for path, text in GRAMMAR.items() if not verbs_only or path in VERB_PATHS]
+    return sorted({d for p in parts for d in p[1::2]}), sorted({p[2] for p in parts if len(p) == 5})
+
+
+def sentence_tokens(parsed: DataFrame) -> DataFrame:
+    """``doc_id``, ``sent_idx`` and ``t``, the sentence's tokens in order: no shuffle, as they are nested already."""
+    return parsed.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.sent_idx", F.col("s.tokens").alias("t"))
+
+
+def tokens_by_sentence(tokens_: DataFrame) -> DataFrame:
+    """The same from a table of tokens, whose places in a sentence run from 0 without gaps."""
+    return tokens_.groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "pos", "head", "dep"))).alias("t"))
+
+
+def is_candidate(t: Column) -> Column:
+    """Whether a sentence has a verb and a noun, proper noun or pronoun."""
+    return F.exists(t, lambda x: x["pos"] == "VERB") & F.exists(t, lambda x: x["pos"].isin(*NOUNS))
+
+
+def paths(sents: DataFrame, verbs_only: bool = False) -> DataFrame:
+    """Dependency paths of two and three tokens between tokens in sentence order, worked out inside each row.
 
     A parse is a tree, so a path of one or two edges is the only and the shortest one; the grammar needs no longer.
-    Ends must be verbs or nouns.
+    Ends must be verbs or nouns.  Only edges and middle tokens that some pattern has are looked at, so a token with many
+    dependents makes no pairs of them.
     """
-    toks = tokens_.join(candidates, ["doc_id", "sent_idx"], "left_semi").select("doc_id", "sent_idx", "tok_idx", "pos", "head", "dep")
-    down = toks.where("head >= 0").select("doc_id", "sent_idx", F.col("tok_idx").alias("a"), F.col("head").alias("b"), "dep")
-    edges = down.unionByName(down.select("doc_id", "sent_idx", F.col("b").alias("a"), F.col("a").alias("b"), "dep"))
-    kind = lambda n: toks.select("doc_id", "sent_idx", F.col("tok_idx").alias(n), F.col("pos").alias(f"p_{n}"))
-    keys = ["doc_id", "sent_idx"]
-    two = edges.where("a < b").select(*keys, F.col("a").alias("x"), F.lit(None).cast("int").alias("y"), F.col("b").alias("z"), F.col("dep").alias("d1"), F.lit(None).cast("string").alias("d2"))
-    nxt = edges.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("dep").alias("dep2"))
-    three = edges.join(nxt, [*keys, "b"]).where("a < c").select(*keys, F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("z"), F.col("dep").alias("d1"), F.col("dep2").alias("d2"))
+    deps, middles = grammar_bounds(verbs_only)
+    none, t = F.lit(None), F.col("t")
+    step = lambda p, q, d1, d2, m, pm: F.struct(p["tok_idx"].alias("x"), m.cast("int").alias("y"), q["tok_idx"].alias("z"), d1.alias("d1"), d2.cast("string").alias("d2"), p["pos"].alias("p_x"), pm.cast("string").alias("p_y"), q["pos"].alias("p_z"))
+    up = lambda x: F.get(t, x["head"])
+
+    def edge(x: Column) -> Column:
+        return F.when(x["tok_idx"] < x["head"], step(x, up(x), x["dep"], none, none, none)).otherwise(step(up(x), x, x["dep"], none, none, none))
+
+    def around(m: Column) -> Column:
+        node = lambda x, dep: F.struct(x["tok_idx"].alias("tok_idx"), x["pos"].alias("pos"), dep.alias("dep"))
+        below = F.transform(F.filter(t, lambda x: x["head"] == m["tok_idx"]), lambda x: node(x, x["dep"]))
+        above = F.filter(F.array(node(up(m), m["dep"])), lambda x: x["tok_idx"].isNotNull())
+        near = F.filter(F.concat(below, above), lambda x: x["dep"].isin(deps))
+        return F.struct(m["tok_idx"].alias("tok_idx"), m["pos"].alias("pos"), near.alias("near"))
+
+    def pairs(m: Column) -> Column:
+        later = lambda p: F.filter(m["near"], lambda q: q["tok_idx"] > p["tok_idx"])
+        return F.flatten(F.transform(m["near"], lambda p: F.transform(later(p), lambda q: step(p, q, p["dep"], q["dep"], m["tok_idx"], m["pos"]))))
+
+    two = F.transform(F.filter(t, lambda x: (x["head"] >= 0) & (x["head"] != x["tok_idx"]) & x["dep"].isin(deps)), edge)
+    three = F.flatten(F.transform(F.transform(F.filter(t, lambda x: x["pos"].isin(middles)), around), pairs))
     ends = ("VERB", *NOUNS)
-    out = two.unionByName(three).join(kind("x"), [*keys, "x"]).join(kind("z"), [*keys, "z"]).join(kind("y"), [*keys, "y"], "left")
-    return out.where(F.col("p_x").isin(*ends) & F.col("p_z").isin(*ends))
+    good = F.filter(F.concat(two, three), lambda p: p["p_x"].isin(*ends) & p["p_z"].isin(*ends))
+    return sents.select("doc_id", "sent_idx", F.explode(good).alias("p")).select("doc_id", "sent_idx", "p.*")
 
 
 def match_paths(found: DataFrame, rules: DataFrame) -> DataFrame:

@@ -238,11 +238,11 @@ def doc_cluster_sparse(spark, sf):
     return A.cluster_counts(pod(spark, sf), "episode", "cluster")
 
 
-@query(f"WITH {FACTS}, w AS (SELECT cluster AS feature, abs(avg(distance)) AS weight FROM pod WHERE distance IS NOT NULL AND NOT isnan(distance) GROUP BY ALL) SELECT feature, round(weight, 9) AS mean_abs, round(weight, 9) AS max_abs, CAST(row_number() OVER (ORDER BY weight DESC, feature) AS INTEGER) AS importance_rank FROM w")
+@query(f"WITH {FACTS}, w AS (SELECT cluster AS feature, round(abs(avg(distance)), 6) AS weight FROM pod WHERE distance IS NOT NULL AND NOT isnan(distance) GROUP BY ALL) SELECT feature, round(weight, 6) AS mean_abs, round(weight, 6) AS max_abs, CAST(row_number() OVER (ORDER BY weight DESC, feature) AS INTEGER) AS importance_rank FROM w")
 def cluster_importance(spark, sf):
     """Clusters ranked by a weight of each; the weights are few, one per cluster and class."""
-    weights = pod(spark, sf).where("distance IS NOT NULL AND NOT isnan(distance)").groupBy(F.col("cluster").alias("feature")).agg(F.avg("distance").alias("weight"))
-    return A.feature_importance(weights).withColumns({c: F.round(c, 9) for c in ("mean_abs", "max_abs")})
+    weights = pod(spark, sf).where("distance IS NOT NULL AND NOT isnan(distance)").groupBy(F.col("cluster").alias("feature")).agg(F.round(F.avg("distance"), 6).alias("weight"))
+    return A.feature_importance(weights)
 
 
 @query(f"WITH {FACTS}, g AS (SELECT target_ppto, target_group, min(schema_group) AS d FROM facts WHERE target_ppto IS NOT NULL AND target_group IS NOT NULL GROUP BY ALL) SELECT target_ppto AS noun_type, count(*) AS n FROM g GROUP BY ALL")

@@ -198,8 +198,8 @@ def candidate_sentence_flags(spark, sf):
 @query()
 def sdp_match(spark, sf):
     """Source-target pairs of all documents under the verb part of the grammar."""
-    toks = nlp.tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text"))
-    found = nlp.match_paths(nlp.paths(toks, nlp.candidate_sentences(toks)), nlp.grammar(spark))
+    sents = nlp.sentence_tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text")).where(nlp.is_candidate(F.col("t")))
+    found = nlp.match_paths(nlp.paths(sents, verbs_only=True), nlp.grammar(spark))
     return nlp.candidate_pairs(found).select("met_id", "doc_id", "sent_idx", "source", "target", "met_paths")
 
 
