@@ -261,7 +261,7 @@ def _search_cell(dim: int, k: int, project: np.ndarray, sketch: np.ndarray, fact
     return run
 
 
-def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_similarity: float = 0.95, m: int = 12, certainty: float = 0.99, route_least: float = 0.004, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_similarity: float = 0.95, m: int = 12, certainty: float = 0.99, route_least: float = 0.002, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """For every record the ``k`` others with the largest cosine of at least ``min_similarity``: ``ident``, ``other``, ``similarity``, ``rank``.
 
     1. Records with the same vector become one class, named by its smallest identifier (a partial aggregation, so a
