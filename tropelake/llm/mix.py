@@ -85,7 +85,8 @@ class Mixture:
     """Documents of several sources, mixed so that each source gives its weight's share of all tokens.
 
     ``documents``: ``ident``, ``n_tokens`` and ``sources`` (ARRAY<STRING>, labels without outer blanks and case).
-    ``targets``: list of (source, weight in percent, most passes); bounded by nature and checked to be at most 10 000.
+    ``targets``: list of (source, weight in percent, most passes); bounded by nature and checked to be at most 10 000.  A
+    null source is left out, a null weight or number of passes is 0.
 
     Token sums are aggregated by membership pattern first, of which only at most ``max_patterns`` may occur; the flow
     is solved on those sums, so the driver holds no documents.  Documents with a null identifier, no tokens or none
@@ -93,9 +94,10 @@ class Mixture:
     """
 
     def __init__(self, documents: DataFrame, ident: str, targets: list[tuple[str, float, int]], seed: int = 42, max_patterns: int = 20_000):
+        targets = [(s, w or 0, max(0, p or 0)) for s, w, p in targets if s is not None]
         if len(targets) > 10_000 or len({s for s, _, _ in targets}) < len(targets):
             raise ValueError("targets must be at most 10 000 different sources")
-        self.targets, self.seed, self.ident = [(s, w, max(0, p)) for s, w, p in targets], seed, ident
+        self.targets, self.seed, self.ident = targets, seed, ident
         spark = documents.sparkSession
         wanted = F.array(*[F.lit(s) for s, _, _ in targets]) if targets else F.array().cast("array<string>")
         self.rows = documents.where(F.col(f"`{ident}`").isNotNull() & (F.col("n_tokens") > 0)).select(F.col(f"`{ident}`").alias("id"), "n_tokens", F.array_sort(F.array_intersect("sources", wanted)).alias("pattern")).where(F.size("pattern") > 0)

@@ -98,24 +98,26 @@ def p6_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_report(_packed(spark, sf_dir), CAPACITY)
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[Mixture, list[str]]:
+    """The mixture, and the targets' sources as they are written in the table."""
     counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"])
     labelled = counts.select("doc_id", "n_tokens", F.array(tidy(F.col("source"))).alias("sources"))
-    targets = table(spark, sf_dir, "mix_targets").select(tidy(F.col("source")).alias("source"), "weight_pct", "max_passes")
-    return Mixture(labelled, "doc_id", [tuple(r) for r in targets.take(10_001)])
+    targets = table(spark, sf_dir, "mix_targets").where("source IS NOT NULL").select(tidy(F.col("source")).alias("label"), "weight_pct", "max_passes", "source").take(10_001)
+    return Mixture(labelled, "doc_id", [tuple(r)[:3] for r in targets]), [r["source"] for r in targets]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = [(s, n, reached) for s, n, reached, _ in _mixture(spark, sf_dir).shares()]
+    mix, written = _mixture(spark, sf_dir)
+    shares = [(name, n, reached) for name, (_, n, reached, _) in zip(written, mix.shares())]
     return spark.createDataFrame(shares, "source STRING, n_passes INT, reached INT")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixture(spark, sf_dir).selection()
+    return _mixture(spark, sf_dir)[0].selection()
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = _mixture(spark, sf_dir)
+    mix = _mixture(spark, sf_dir)[0]
     got = mix.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("n_tokens"))
     weights = spark.createDataFrame([(s, float(w)) for s, w, _ in mix.targets], "source STRING, target_pct DOUBLE")
     total = got.agg(F.sum("n_tokens").alias("all"))
@@ -185,7 +187,7 @@ SELECT DISTINCT least(a, b) AS idx_a, greatest(a, b) AS idx_b FROM best""",
         "p6_found": f"WITH {_TOKENS} SELECT doc_id, CAST(ceil(n / 512.0) AS INTEGER) AS min_pieces FROM counted WHERE n > 512",
         "p7_found": f"""
 WITH {_TOKENS},
-mine AS (SELECT lower(trim(t.source, E' \\t\\n\\r')) AS source, weight_pct, max_passes, coalesce((SELECT sum(n) FROM counted c WHERE lower(trim(c.source, E' \\t\\n\\r')) = lower(trim(t.source, E' \\t\\n\\r'))), 0) AS s FROM mix_targets t),
+mine AS (SELECT t.source, weight_pct, max_passes, coalesce((SELECT sum(n) FROM counted c WHERE lower(trim(c.source, E' \\t\\n\\r')) = lower(trim(t.source, E' \\t\\n\\r'))), 0) AS s FROM mix_targets t),
 whole AS (SELECT sum(s) AS t FROM mine)
 SELECT source, CAST(CASE WHEN s = 0 THEN 0 ELSE least(max_passes, ceil(weight_pct * t / 100.0 / s)) END AS INTEGER) AS n_passes,
        CAST(CASE WHEN 100 * max_passes * s >= weight_pct * t THEN 1 ELSE 0 END AS INTEGER) AS reached FROM mine, whole""",
