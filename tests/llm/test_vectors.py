@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tropelake.llm")
 from tropelake.llm.birch import Tree, cluster_members, cluster_report, label_of, ward
-from tropelake.llm.similar import Cells, chi_square_quantile, kd_order, most_similar
+from tropelake.llm.similar import Cells, chi_square_quantile, kd_order, most_similar, most_similar_to
 
 D = 64
 SCHEMA = "idx INT, emb ARRAY<FLOAT>, f STRING, g STRING, id STRING, cluster STRING, similarity STRING"
@@ -139,6 +139,28 @@ def test_copies_unusable_rows_and_empty_tables(spark):
     assert listed(frame(spark, [[1.0] * D], [("", "")])) == {}
 
 
+@pytest.mark.parametrize("cell_rows", [60, 10_000])
+def test_neighbours_without_a_least_similarity(spark, cell_rows):
+    rng = np.random.default_rng(8)
+    x, _ = clustered(rng, [200, 100, 60])
+    x = np.vstack([x, unit(rng.standard_normal((40, D))), np.repeat(x[:1], 9, axis=0), x[5:15] * 7]).astype(np.float32)
+    ids = rng.permutation(2000)[: len(x)].tolist()
+    df = frame(spark, [*x, None, [0.0] * D], [("", "")] * (len(x) + 2), [*ids, 5000, 5001])
+    got = {}
+    for r in most_similar_to(df, "idx", "emb", D, lambda i: i % 5 == 0, cell_rows=cell_rows).orderBy("idx", "rank").collect():
+        got.setdefault(r["idx"], []).append((r["other"], r["similarity"]))
+    want = {i: v for i, v in brute(x, ids, 5, -2).items() if i % 5 == 0}
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    hits = sum(len({j for j, _ in got[i]} & {j for j, _ in want[i]}) for i in want)
+    assert hits >= 0.93 * 5 * len(want)
+    for i in want:
+        if np.array_equal(x[ids.index(i)], x[0]):
+            assert got[i] == want[i]
+    few = frame(spark, np.eye(3, D), [("", "")] * 3, [5, 6, 7])
+    assert [(r["other"], r["similarity"]) for r in most_similar_to(few, "idx", "emb", D, lambda i: i == 5).collect()] == [(6, 0.0), (7, 0.0)]
+    assert most_similar_to(frame(spark, [], []), "idx", "emb", D, lambda i: i == 5).count() == 0
+
+
 def test_chi_square_quantiles():
     assert abs(chi_square_quantile(0.99, 8) - 20.090) < 1e-3 and abs(chi_square_quantile(0.95, 2) - 5.991) < 1e-3
 
@@ -146,7 +168,7 @@ def test_chi_square_quantiles():
 def test_cells_and_trees_hold_every_row_once():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 4))
-    row, cell, own = Cells(x[:500], 4).visits(x, 0.3, 0.004)
+    row, cell, own = Cells(x[:500], 4).visits(x, np.full(3000, 0.3), 0.004)
     assert sorted(row[own].tolist()) == list(range(3000)) and cell.max() < 16
     assert len(set(zip(row.tolist(), cell.tolist()))) == len(row)
     order, starts = kd_order(x)

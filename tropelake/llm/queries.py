@@ -10,7 +10,7 @@ from .birch import cluster_members, cluster_report, label_of
 from .cutoff import cutoffs
 from .mix import Mixture
 from .pack import pack, pack_report
-from .similar import most_similar
+from .similar import most_similar, most_similar_to
 from .spans import fuzzy_passages, shared_lengths, shared_spans
 from .split import distinct_pieces, split_texts
 from .tokens import token_counts
@@ -58,6 +58,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.distinct()
 
 
+def p3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar of all records for every record whose idx is divisible by 20."""
+    return most_similar_to(table(spark, sf_dir, "met_embeddings"), "idx", "emb", DIM, lambda i: i % 20 == 0, k=5)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_pieces(split_texts(table(spark, sf_dir, "doc_store"), "id", "text", 5000, 250, "full"), "id")
 
@@ -137,7 +142,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "p1_found p1_clusters p2_found p2_nearest p3_found p4_found p4_balanced p5_found p5_cutoffs p6_found p6_sequences p6_used p7_found p7_mixture p7_shares p8_found p8_passages"
+    names = "p1_found p1_clusters p2_found p2_nearest p3_found p3_nearest p4_found p4_balanced p5_found p5_cutoffs p6_found p6_sequences p6_used p7_found p7_mixture p7_shares p8_found p8_passages"
     return {n: globals()[n] for n in names.split()}
 
 

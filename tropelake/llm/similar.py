@@ -9,20 +9,22 @@ unlikely.  A kd-tree orders the search; its upper part cuts the space into cells
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import unit, vectors_of
+from ._base import checkpointed, unit, vectors_of
 from .top_n import top_n_per_group
 
 LEAF, CHUNK = 128, 4096
 #: Length of the second projection, which keeps most far pairs from being verified.
 SKETCH = 24
+#: Share of pairs that must pass the projected test before all pairs of a block are compared by one matrix product.
+DENSE = 0.1
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -55,15 +57,15 @@ class Cells:
             right = rows[:, self.axis[node]] > self.cut[node]
             groups[2 * node], groups[2 * node + 1] = rows[~right], rows[right]
 
-    def visits(self, rows: np.ndarray, sigma: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, cell and whether it's the row's own, for all cells where a neighbour may lie with a probability of at least ``least``, when it differs by a normal step of ``sigma`` on every axis."""
+    def visits(self, rows: np.ndarray, sigma: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, cell and whether it's the row's own, for all cells where a neighbour may lie with a probability of at least ``least``, when it differs by a normal step of the row's ``sigma`` on every axis."""
         row, node, chance = np.arange(len(rows)), np.ones(len(rows), int), np.ones(len(rows))
         own = np.ones(len(rows), bool)
         table = np.array([NormalDist().cdf(-x / 64) for x in range(64 * 6)] + [0.0])
         for _ in range(self.depth):
             gap = rows[row, self.axis[node]] - self.cut[node]
             right = gap > 0
-            far = chance * table[np.minimum(np.abs(gap) / sigma * 64, 384).astype(int)]
+            far = chance * table[np.minimum(np.abs(gap) / sigma[row] * 64, 384).astype(int)]
             go = far >= least
             row = np.concatenate([row, row[go]])
             own = np.concatenate([own, np.zeros(go.sum(), bool)])
@@ -90,8 +92,8 @@ def kd_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Found:
     """The k nearest so far of each row: squared distances, ascending, and the neighbours' identifiers."""
 
-    def __init__(self, n: int, k: int, bound: float):
-        self.square = np.full((n, k), bound)
+    def __init__(self, n: int, k: int, bound: np.ndarray | float):
+        self.square = np.repeat(np.broadcast_to(np.asarray(bound, float), n)[:, None], k, axis=1)
         self.who = np.full((n, k), -1, np.int64)
 
     def add(self, row: np.ndarray, who: np.ndarray, square: np.ndarray) -> None:
@@ -113,7 +115,7 @@ class Found:
 class Points:
     """Rows of a cell in the order of their kd-tree, with its leaves' boxes, two projections and what was found for each."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, project: np.ndarray, sketch: np.ndarray, k: int, bound: float):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, project: np.ndarray, sketch: np.ndarray, k: int, bound: np.ndarray | float):
         low = (rows @ project).astype(np.float32)
         order, self.starts = kd_order(low)
         low, self.ids, self.rows = low[order], ids[order], rows[order]
@@ -122,8 +124,9 @@ class Points:
         self.high = np.maximum.reduceat(low, self.starts) if len(ids) else low
         square, one = np.einsum("ij,ij->i", low, low)[:, None], np.ones((len(ids), 1), np.float32)
         self.left, self.right = np.hstack([low, square, one]), np.hstack([-2 * low, one, square])
-        self.sketch = (self.rows @ sketch).astype(np.float32)
-        self.found = Found(len(ids), k, bound)
+        self.sketch, self.flat = (self.rows @ sketch).astype(np.float32), self.rows.astype(np.float32)
+        self.silent = bool(np.isscalar(bound) and bound < 0)  # rows that are looked at, but ask for nothing
+        self.found = Found(len(ids), k, bound if np.isscalar(bound) else bound[order])
 
     def reach(self) -> np.ndarray:
         """Of each leaf the largest k-th squared distance so far."""
@@ -158,7 +161,7 @@ def search(a: Points, b: Points, factor: float, sketch_factor: float, bound: flo
             where = np.concatenate([np.arange(b.starts[x], b.ends[x]) for x in now])
             far = a.left[mine] @ b.right[where].T
             other = b.found.square[where, -1]
-            if kth.min() == bound or other.min() == bound:
+            if kth.min() >= bound or other.min() >= bound:  # nothing found yet that would part the rows
                 hit = far <= factor * bound + 1e-5
             else:
                 hit = (far <= factor * kth[:, None] + 1e-5) | (far <= factor * other + 1e-5)
@@ -166,6 +169,17 @@ def search(a: Points, b: Points, factor: float, sketch_factor: float, bound: flo
             q, c = q + a.starts[leaf], where[c]
             if a is b:
                 q, c = q[q < c], c[q < c]
+            if len(q) > DENSE * hit.size and len(where) > 256:  # many: all of them at once, by one product
+                near = 2 - 2 * (a.flat[mine] @ b.flat[where].T)
+                wanted = a.found.square[mine, -1:]
+                k = a.found.square.shape[1]
+                if b.silent and near.shape[1] > k + 1:  # only a's rows ask: the k nearest and the row itself bound each list
+                    wanted = np.minimum(wanted, np.partition(near, k, axis=1)[:, k : k + 1])
+                hit &= (near <= wanted + 1e-5) | (near <= b.found.square[where, -1] + 1e-5)
+                q, c = np.divmod(np.flatnonzero(hit.ravel()), hit.shape[1])
+                q, c = q + a.starts[leaf], where[c]
+                if a is b:
+                    q, c = q[q < c], c[q < c]
             for at in range(0, len(q), 65_536):
                 _verify(a, b, q[at : at + 65_536], c[at : at + 65_536], sketch_factor)
 
@@ -176,10 +190,11 @@ def _verify(a: Points, b: Points, q: np.ndarray, c: np.ndarray, sketch_factor: f
     keep = np.einsum("ij,ij->i", step, step) <= sketch_factor * most + 1e-5
     q, c, most = q[keep], c[keep], most[keep]
     square = np.maximum(2 - 2 * np.einsum("ij,ij->i", a.rows[q], b.rows[c]), 0)
-    keep = square <= most + 1e-8
+    keep = (square <= most + 1e-8) & (a.ids[q] != b.ids[c])
     q, c, square = q[keep], c[keep], square[keep]
     a.found.add(q, b.ids[c], square)
-    b.found.add(c, a.ids[q], square)
+    if not b.silent:
+        b.found.add(c, a.ids[q], square)
 
 
 def _sample(dim: int, project: np.ndarray):
@@ -216,7 +231,7 @@ def _route(dim: int, project: np.ndarray, cells: Cells, sigma: float, least: flo
             if not batch.num_rows:
                 continue
             rows = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, dim)
-            row, cell, own = cells.visits(unit(rows) @ project, sigma, least)
+            row, cell, own = cells.visits(unit(rows) @ project, np.full(len(rows), sigma), least)
             home = np.zeros(len(rows), int)
             home[row[own]] = cell[own]
             keep = own | ((cell > home[row]) == ((cell + home[row]) % 2 == 0))  # of two cells, the rows of one visit the other
@@ -240,6 +255,12 @@ def _search_cell(dim: int, k: int, project: np.ndarray, sketch: np.ndarray, fact
             r, c = np.nonzero(p.found.who >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(p.ids[r]), pa.array(p.found.who[r, c]), pa.array(1 - p.found.square[r, c] / 2)], names=["id", "other", "similarity"])
 
+    return _cells_of(cell, ("id", "own"), dim)
+
+
+def _cells_of(cell: Callable, columns: tuple[str, ...], dim: int):
+    """Calls ``cell`` with the columns and the vectors of each whole cell of a sorted partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
@@ -254,7 +275,7 @@ def _search_cell(dim: int, k: int, project: np.ndarray, sketch: np.ndarray, fact
                 now = number[part[0]]
                 rows = batch.slice(part[0], len(part))
                 vec = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float32).reshape(-1, dim)
-                held.append((rows.column("id").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False), vec))
+                held.append((*[rows.column(c).to_numpy(zero_copy_only=False) for c in columns], vec))
         if held:
             yield from cell(*map(np.concatenate, zip(*held)))
 
@@ -278,28 +299,69 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
     and then the smaller identifier comes first.  ``ident`` must be an integer column; rows with a null identifier and
     vectors that are null, not of ``dim`` values, not finite or all zero have no part.  An empty table gives no rows.
     """
-    if m % 2:
-        raise ValueError("m must be even")
     project, sketch, bound = projection(dim, m, seed), projection(dim, SKETCH, seed + 1), 2 - 2 * min_similarity
     factor, sketch_factor = chi_square_quantile(certainty, m), chi_square_quantile(0.999, SKETCH)
-    rows = df.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), F.col(f"`{emb}`").alias("emb"))
-    total = df.count()
-    drawn = rows.select("emb").sample(min(1.0, sample_rows / max(1, total)), seed).mapInArrow(_sample(dim, project), "p BINARY").toPandas()["p"]
-    sample = np.frombuffer(b"".join(drawn), float).reshape(-1, m)
-    depth = max(0, math.ceil(math.log2(max(1, total / cell_rows))))
-    cells = Cells(sample, depth)
-
+    rows = _rows(df, ident, emb)
+    cells = _fit(df, rows, dim, project, cell_rows, sample_rows, seed)
     keyed = rows.mapInArrow(_keyed(dim), "id BIGINT, key BIGINT, vec BINARY")
     classes = keyed.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("r")).select("r.id", "r.vec")
     routed = classes.mapInArrow(_route(dim, project, cells, math.sqrt(bound), route_least), "cell INT, own BOOLEAN, id BIGINT, vec BINARY")
-    near = routed.repartition(1 << depth, "cell").sortWithinPartitions("cell", "id").mapInArrow(_search_cell(dim, k, project, sketch, factor, sketch_factor, bound), "id BIGINT, other BIGINT, similarity DOUBLE")
+    near = _by_cell(routed, cells).mapInArrow(_search_cell(dim, k, project, sketch, factor, sketch_factor, bound), "id BIGINT, other BIGINT, similarity DOUBLE")
+    return _of_members(near, rows, dim, ident, k)
+
+
+def most_similar_to(df: DataFrame, ident: str, emb: str, dim: int, asked: Callable[[Column], Column], k: int = 5, m: int = 12, certainty: float = 0.95, route_least: float = 0.01, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+    """The ``k`` others with the largest cosine, however small, for the records whose identifier is ``asked`` for: ``ident``, ``other``, ``similarity``, ``rank``.
+
+    The search of ``most_similar`` in two rounds.  First every record that is asked for searches its own cell, which gives
+    a bound for its k-th neighbour; then it visits the cells in which a closer one lies with a chance of at least
+    ``route_least``.  All records stay in their cells; only those asked for travel, to as many cells as their bounds
+    demand.  Rows, ties and copies are treated as there; a record has fewer than ``k`` neighbours only if there are no more.
+    """
+    project, sketch = projection(dim, m, seed), projection(dim, SKETCH, seed + 1)
+    factor, sketch_factor = chi_square_quantile(certainty, m), chi_square_quantile(0.999, SKETCH)
+    rows = _rows(df, ident, emb)
+    cells = _fit(df, rows, dim, project, cell_rows, sample_rows, seed)
+    keyed = rows.mapInArrow(_keyed(dim), "id BIGINT, key BIGINT, vec BINARY")
+    classes = keyed.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("r"), F.max(asked(F.col("id"))).alias("asks")).select("r.id", "r.vec", "asks")
+    homes = checkpointed(classes.mapInArrow(_home(dim, project, cells), "cell INT, id BIGINT, vec BINARY, asks BOOLEAN"))
+    lists = "id BIGINT, other BIGINT, similarity DOUBLE"
+    visit = lambda guests: _visit_cell(dim, k, project, sketch, factor, sketch_factor, guests)
+    first = checkpointed(_by_cell(homes.withColumns({"own": F.lit(True), "bound": F.lit(4.0)}), cells).mapInArrow(visit(False), lists))
+    bounds = first.groupBy("id").agg(F.when(F.count("*") >= k, F.max(2 - 2 * F.col("similarity"))).otherwise(4.0).alias("bound"))
+    guests = homes.where("asks").join(bounds, "id", "left").select("id", "vec", F.coalesce("bound", F.lit(4.0)).alias("bound"))
+    guests = guests.mapInArrow(_send(dim, project, cells, route_least), "cell INT, id BIGINT, vec BINARY, bound DOUBLE")
+    both = homes.select("cell", F.lit(True).alias("own"), "id", "vec", F.lit(False).alias("asks"), F.lit(4.0).alias("bound"))
+    both = both.unionByName(guests.select("cell", F.lit(False).alias("own"), "id", "vec", F.lit(True).alias("asks"), "bound"))
+    second = _by_cell(both, cells).mapInArrow(visit(True), lists)
+    return _of_members(first.unionByName(second), rows, dim, ident, k).where(asked(F.col(ident)))
+
+
+def _rows(df: DataFrame, ident: str, emb: str) -> DataFrame:
+    return df.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), F.col(f"`{emb}`").alias("emb"))
+
+
+def _fit(df: DataFrame, rows: DataFrame, dim: int, project: np.ndarray, cell_rows: int, sample_rows: int, seed: int) -> Cells:
+    """Cells from a sample of about ``sample_rows`` rows; how many there are follows from the number of all."""
+    if project.shape[1] % 2:
+        raise ValueError("m must be even")
+    total = df.count()
+    drawn = rows.select("emb").sample(min(1.0, sample_rows / max(1, total)), seed).mapInArrow(_sample(dim, project), "p BINARY").toPandas()["p"]
+    return Cells(np.frombuffer(b"".join(drawn), float).reshape(-1, project.shape[1]), max(0, math.ceil(math.log2(max(1, total / cell_rows)))))
+
 
+def _by_cell(routed: DataFrame, cells: Cells) -> DataFrame:
+    """One partition for each cell, sorted by identifier."""
+    return routed.repartitionById(1 << cells.depth, F.col("cell")).sortWithinPartitions("cell", "id")
+
+
+def _of_members(near: DataFrame, rows: DataFrame, dim: int, ident: str, k: int) -> DataFrame:
+    """Lists of classes as lists of their members: own copies first by similarity 1, then the first members of near classes."""
     members = rows.mapInArrow(_keys_only(dim), "id BIGINT, key BIGINT").distinct()
     named = members.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
     copies = members.join(named.where("n > 1"), "key").select("cls", "id", "n")
     by_class = Window.partitionBy("cls").orderBy("id")
     few = copies.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k + 1).select("cls", "id")
-    # of each class, what any of its members may have: its own first members, and the first of its neighbours
     wide = near.join(few.withColumnsRenamed({"cls": "other", "id": "member"}), "other", "left").select("id", F.coalesce("member", "other").alias("other"), "similarity")
     lists = wide.unionByName(few.select(F.col("cls").alias("id"), F.col("id").alias("other"), F.lit(1.0).alias("similarity")))
     expanded = lists.join(copies.select(F.col("cls").alias("id"), F.col("id").alias("member")), "id", "left").select(F.coalesce("member", "id").alias("id"), "other", "similarity").where("id <> other")
@@ -307,6 +369,50 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
     return top_n_per_group(best, "id", "similarity", "other", k, descending=True).select(F.col("id").alias(ident), "other", "similarity", "rank")
 
 
+def _home(dim: int, project: np.ndarray, cells: Cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+                row, cell, own = cells.visits(unit(rows) @ project, np.ones(len(rows)), 2.0)
+                home = np.zeros(len(rows), np.int32)
+                home[row[own]] = cell[own]
+                yield pa.RecordBatch.from_arrays([pa.array(home), batch.column("id"), batch.column("vec"), batch.column("asks")], names=["cell", "id", "vec", "asks"])
+
+    return run
+
+
+def _send(dim: int, project: np.ndarray, cells: Cells, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+                sigma = np.sqrt(np.maximum(batch.column("bound").to_numpy(), 1e-12))
+                row, cell, own = cells.visits(unit(rows) @ project, sigma, least)
+                for part in np.array_split(np.flatnonzero(~own), max(1, len(row) // 8192)):
+                    take = pa.array(row[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[part].astype(np.int32)), *[batch.column(c).take(take) for c in ("id", "vec", "bound")]], names=["cell", "id", "vec", "bound"])
+
+    return run
+
+
+def _visit_cell(dim: int, k: int, project: np.ndarray, sketch: np.ndarray, factor: float, sketch_factor: float, guests: bool):
+    """Neighbours in one cell for the records that ask: its own, or only its guests."""
+
+    def cell(ids: np.ndarray, own: np.ndarray, asks: np.ndarray, bound: np.ndarray, vec: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wide = unit(vec)
+        here = asks & (~own if guests else own)
+        if here.any() and own.any():
+            stored = Points(ids[own], wide[own], project, sketch, k, -1.0)
+            asking = Points(ids[here], wide[here], project, sketch, k, bound[here])
+            search(asking, stored, factor, sketch_factor, 4.0)
+            r, c = np.nonzero(asking.found.who >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(asking.ids[r]), pa.array(asking.found.who[r, c]), pa.array(1 - asking.found.square[r, c] / 2)], names=["id", "other", "similarity"])
+
+    return _cells_of(cell, ("id", "own", "asks", "bound"), dim)
+
+
 def _keys_only(dim: int):
     whole = _keyed(dim)
 
