@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_label
+from .ranking import running_total
 from .relational import overlay
 
 
@@ -38,11 +39,8 @@ def group_dictionary(groups: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, order: str) -> DataFrame:
-    """``idx`` 0, 1, … in order, without one task for all rows: ranks in range partitions plus the counts before them."""
-    rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).persist()
-    before = rows.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    return rows.withColumn("__n", n).join(F.broadcast(before), "__p").withColumn("idx", (F.col("__b") + F.col("__n") - 1).cast("long")).drop("__p", "__n", "__b", "__c")
+    """``idx`` 0, 1, … in order of a column without ties, without one task for all rows."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", "idx").drop("__one")
 
 
 def stub_embedder(dim: int = 64) -> Callable:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector, squared_distance, wide
+from .ranking import running_total
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -46,8 +51,8 @@ def threshold_report(df: DataFrame, score: str, label: str, thresholds: list[flo
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums; null when one class is missing.  Ranks come from counts of equal scores."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("pos") * (below + F.col("neg") / 2))
+    ranked = running_total(counts, score, "neg", "below")
+    wins = ranked.withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -157,15 +162,38 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, ident: str, label: str, vector: str, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette of a hash sample of at most ``sample`` rows, as it needs all pairs; a lone member counts 0, and so does a single cluster."""
+    """Mean Euclidean silhouette of a hash sample of at most ``sample`` rows, as it needs all pairs; a lone member counts 0, and so does a single cluster.
+
+    The sample, a bounded number of vectors, travels to the tasks that compare its parts with it in blocks.
+    """
     from .sampling import draw
 
-    rows = draw(df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(ident).alias("i"), F.col(label).alias("l"), wide(F.col(vector)).alias("v")), "i", sample, seed)
-    other = rows.withColumnsRenamed({"i": "j", "l": "m", "v": "w"})
-    sums = rows.crossJoin(F.broadcast(other)).where("i <> j").groupBy("i", "l", "m").agg(F.avg(F.sqrt(squared_distance(F.col("v"), F.col("w")))).alias("d"))
-    each = sums.groupBy("i").agg(F.min(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.avg(s).alias("silhouette"))
+    usable = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    rows = draw(usable.select(F.col(ident).alias("i"), F.col(label).cast("string").alias("l"), wide(F.col(vector)).alias("v")), "i", sample, seed).toPandas()
+    schema = "silhouette DOUBLE"
+    if not len(rows):
+        return df.sparkSession.createDataFrame([(None,)], schema)
+    x = np.stack(rows["v"].to_numpy())
+    names, label_no = np.unique(rows["l"].to_numpy(), return_inverse=True)
+    member = np.eye(len(names))[label_no]
+    sizes = member.sum(axis=0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in np.array_split(pdf["n"].to_numpy(), max(1, len(pdf) // 256)):
+                d = np.sqrt(np.maximum(((x[at] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x[at] @ x.T), 0))
+                d[np.arange(len(at)), at] = 0
+                sums, own = d @ member, label_no[at]
+                mine = np.arange(len(at)), own
+                a = sums[mine] / np.maximum(sizes[own] - 1, 1)
+                other = sums / sizes
+                other[mine] = np.inf
+                b = other.min(axis=1)
+                s = np.where((sizes[own] < 2) | np.isinf(b), 0.0, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1))
+                yield pd.DataFrame({"s": s})
+
+    numbers = df.sparkSession.range(len(rows)).withColumnRenamed("id", "n")
+    return numbers.mapInPandas(run, "s DOUBLE").agg(F.avg("s").alias("silhouette"))
 
 
 def exact_purity(df: DataFrame, label: str, features: list[str]) -> DataFrame:

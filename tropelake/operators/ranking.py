@@ -23,3 +23,15 @@ def first_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
 
 def running_number(df: DataFrame, group: list[str], order: list, name: str, start: int = 0) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1 + start)
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows before each, in order of a column without ties.
+
+    Range partitions are summed by themselves and get the totals of those before them, so no task sees all rows.
+    """
+    rows = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).persist()
+    totals = rows.groupBy("__p").agg(F.sum(value).alias("__t"))
+    before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__i", inside).join(before, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")

@@ -67,6 +67,6 @@ def inverse_usage(options: DataFrame, ident: str, draws: int, seed: int = 42) ->
     """
     n = options.count()
     rounds = -(-draws // max(1, n))
-    rows = options.select(ident).crossJoin(options.sparkSession.range(rounds).withColumnRenamed("id", "__t"))
+    rows = options.select(ident, F.explode(F.sequence(F.lit(0), F.lit(max(0, rounds - 1)))).alias("__t"))
     order = [F.col("__t"), F.md5(F.concat(F.col(ident).cast("string"), F.lit("|"), F.col("__t").cast("string"), F.lit(f"|{seed}"))), F.col(ident)]
     return rows.orderBy(*order).limit(draws).withColumn("draw_no", F.row_number().over(Window.orderBy(*order)) - 1).select("draw_no", ident)
