@@ -24,9 +24,9 @@ def test_candidates_and_annotation(run, tmp_path):
     assert len(got) > 1 and all(r["met_id"].startswith(("a-0_", "b-0_")) for r in got)
     items = [("m1", "flood", "people", "s"), ("m2", "burn", "bridge", "t")]
     schema = "id STRING, source_word STRING, target_word STRING, sentence STRING"
-    assert {r["id"] for r in run("annotate-task", items, schema, "--workers", 2)} == {"m1", "m2"}
-    cli_done = str(tmp_path / "out")
-    again = run("annotate-task", [*items, ("m3", "x", "y", "z")], schema, "--done", cli_done)
+    assert {r["id"] for r in run("annotate-task", items, schema, "--workers", 2, out="ann")} == {"m1", "m2"}
+    cli_done = str(tmp_path / "ann")
+    again = run("annotate-task", [*items, ("m3", "x", "y", "z")], schema, "--done", cli_done, out="ann")
     assert sorted(r["id"] for r in again) == ["m1", "m2", "m3"]
 
 

@@ -25,7 +25,7 @@ class Fit:
 
 def _scores(predictions: DataFrame) -> tuple[float, float]:
     rows = {r["class"]: r for r in class_report(predictions, "y", "prediction").collect()}  # a row per class
-    return rows["accuracy"]["f1"], rows["macro avg"]["f1"]
+    return rows["accuracy"]["f1"] or 0.0, rows["macro avg"]["f1"] or 0.0  # no rows to predict, no score
 
 
 def feature_columns(df: DataFrame, include_targets: bool = False) -> list[str]:
