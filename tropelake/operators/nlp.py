@@ -74,9 +74,14 @@ def stub_parser(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": frame["doc_id"], "sentences": out})
 
 
-def parse(docs: DataFrame, ident: str, text: str, parser: Callable = stub_parser) -> DataFrame:
-    """Parsed documents: ``doc_id`` and nested ``sentences``.  Null and empty texts have none."""
+def parse(docs: DataFrame, ident: str, text: str, parser: Callable = stub_parser, workers: int | None = None) -> DataFrame:
+    """Parsed documents: ``doc_id`` and nested ``sentences``.  Null and empty texts have none.
+
+    Parsing costs far more than moving texts: with ``workers`` they are spread over that many tasks, however few files they come from.
+    """
     rows = docs.select(F.col(ident).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    if workers:
+        rows = rows.repartition(workers, "doc_id")
     return rows.mapInPandas(parser, PARSED)
 
 

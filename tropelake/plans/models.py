@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotate, clustering, features, intrusion, metrics, nlp
 from ..operators import regression as R
 from .registry import query, table
+from .text import parsed_documents
 from .vectors import rows
 
 
@@ -111,7 +112,7 @@ def intrusion_examples(spark, sf):
 @query()
 def coref_representative(spark, sf):
     """The text that stands for each target: here every pronoun's mention stands for the sentence's first noun."""
-    toks = nlp.tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text")).select("doc_id", "sent_idx", "tok_idx", "text", "pos").persist()  # parsed once
+    toks = nlp.tokens(parsed_documents(spark, sf)).select("doc_id", "sent_idx", "tok_idx", "text", "pos").persist()  # parsed once
     first = toks.where("pos = 'NOUN'").groupBy("doc_id", "sent_idx").agg(F.min_by("text", "tok_idx").alias("representative_text"))
     chain = F.concat_ws("_", "doc_id", "sent_idx").alias("chain_id")
     mentions = toks.where("pos = 'PRON'").select("doc_id", "sent_idx", chain, F.col("tok_idx").alias("start_tok"), F.col("tok_idx").alias("end_tok"))

@@ -175,6 +175,11 @@ def token_explode(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.words(T.clean_text(F.col("text")))).alias("tok_idx", "token"))
 
 
+def parsed_documents(spark, sf):
+    """Parsed in as many tasks as the session has partitions for shuffles."""
+    return nlp.parse(table(spark, sf, "documents"), "doc_id", "text", workers=int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query()
 def chunk_text(spark, sf):
     """Chunks of at most 42 000 characters of every text, with their place."""
@@ -191,27 +196,27 @@ def word_span_places(spark, sf):
 
 @query()
 def candidate_sentence_flags(spark, sf):
-    toks = nlp.tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text"))
+    toks = nlp.tokens(parsed_documents(spark, sf))
     return nlp.candidate_sentences(toks)
 
 
 @query()
 def sdp_match(spark, sf):
     """Source-target pairs of all documents under the verb part of the grammar."""
-    sents = nlp.sentence_tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text")).where(nlp.is_candidate(F.col("t")))
+    sents = nlp.sentence_tokens(parsed_documents(spark, sf)).where(nlp.is_candidate(F.col("t")))
     found = nlp.match_paths(nlp.paths(sents, verbs_only=True), nlp.grammar(spark))
     return nlp.candidate_pairs(found).select("met_id", "doc_id", "sent_idx", "source", "target", "met_paths")
 
 
 @query()
 def sdp_errors(spark, sf):
-    return nlp.path_errors(nlp.tokens(nlp.parse(table(spark, sf, "documents"), "doc_id", "text")))
+    return nlp.path_errors(nlp.tokens(parsed_documents(spark, sf)))
 
 
 @query()
 def nested_documents(spark, sf):
     """Documents with their sentences nested in order."""
-    parsed = nlp.parse(table(spark, sf, "documents"), "doc_id", "text")
+    parsed = parsed_documents(spark, sf)
     sents = nlp.sentences(parsed).select("doc_id", "sent_idx", "text", "num_tokens")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
     return relational.nested(docs, sents, "doc_id", "doc_id", ["sent_idx"], "sentences")
