@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -44,8 +46,13 @@ def cluster_counts(df: DataFrame, doc: str, cluster: str) -> DataFrame:
 
 
 def document_cluster_matrix(df: DataFrame, docs: DataFrame, doc: str, cluster: str, k: int) -> DataFrame:
-    """A row for every document with ``counts``, an array of its ``k`` cluster counts; zeros for documents without any."""
-    entries = cluster_counts(df, doc, cluster).where(F.col(cluster).between(0, k - 1)).groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(F.col(cluster).cast("int"), F.col("n").cast("int")))).alias("m"))
+    """A row for every document with ``counts``, an array of its ``k`` cluster counts; zeros for documents without any.
+
+    Null clusters count for none; a cluster outside 0..k-1 raises, as its rows would be lost.
+    """
+    bad = F.raise_error(F.concat(F.lit(f"cluster outside 0..{k - 1}: "), F.col(cluster).cast("string"))).cast("int")
+    place = F.when(F.col(cluster).between(0, k - 1), F.col(cluster).cast("int")).otherwise(bad)
+    entries = cluster_counts(df, doc, cluster).groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("n").cast("int")))).alias("m"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0)))
     return docs.select(doc).distinct().join(entries, doc, "left").select(doc, counts.alias("counts"))
 
@@ -56,6 +63,20 @@ def document_cluster_wide(df: DataFrame, docs: DataFrame, doc: str, cluster: str
     return matrix.select(doc, *[F.get("counts", F.lit(c)).alias(f"{prefix}{c}") for c in range(k)])
 
 
+def document_cluster_vectors(df: DataFrame, docs: DataFrame, doc: str, cluster: str, name: str = "x") -> tuple[DataFrame, list]:
+    """A row for every document with ``name``, the sparse vector of its counts over all clusters that occur, and the clusters in the order of the vector's places.
+
+    The driver holds the clusters' numbers, a task one document's counts; the form for regressions over any number of clusters.
+    """
+    counts = cluster_counts(df, doc, cluster)
+    clusters = sorted(r[0] for r in counts.select(cluster).distinct().collect())
+    places = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(clusters)], StructType([StructField(cluster, df.schema[cluster].dataType), StructField("__i", IntegerType())]))
+    size = len(clusters)
+    vector = F.udf(lambda m: Vectors.sparse(size, [(r[0], float(r[1])) for r in m or ()]), VectorUDT())
+    entries = counts.join(places, cluster).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("__i", "n"))).alias("m"))
+    return docs.select(doc).distinct().join(entries, doc, "left").select(doc, vector("m").alias(name)), clusters
+
+
 def document_group_wide(df: DataFrame, docs: DataFrame, doc: str, group: str, groups: list[str], prefix: str = "Target ") -> DataFrame:
     """Counts of each stated group per document; empty labels count for none."""
     counts = df.where(F.coalesce(F.col(group), F.lit("")) != "").groupBy(doc).pivot(group, groups).count()

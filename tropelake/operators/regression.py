@@ -32,19 +32,22 @@ def feature_columns(df: DataFrame, include_targets: bool = False) -> list[str]:
     return [c for c in df.columns if "Cluster" in c or (include_targets and c.startswith("Target "))]
 
 
-def regression(df: DataFrame, ident: str, label: str, include_targets: bool = False, c: float = 0.5, test_percent: int = 20, folds: int = 5, repeats: int = 5, max_iter: int = 1000, seed: int = 42) -> Fit:
+def regression(df: DataFrame, ident: str, label: str, include_targets: bool = False, c: float = 0.5, test_percent: int = 20, folds: int = 5, repeats: int = 5, max_iter: int = 1000, seed: int = 42, vector: tuple[str, list[str]] | None = None) -> Fit:
     """L2 logistic regression on standardised features.
 
     The strength C of n training rows is Spark's regParam 1 / (C n).  The test part is drawn by a hash of the
     identifier; folds are dealt round-robin inside each class, another way in every repeat.  Weights are in the original
-    scale of the features.  Rows without a label drop out.
+    scale of the features.  Rows without a label drop out.  ``vector`` is a vector column, which may be sparse, with the
+    names of its places, in place of feature columns.
     """
-    names = feature_columns(df, include_targets)
+    names = vector[1] if vector else feature_columns(df, include_targets)
     if not names:
         raise ValueError("no feature columns")
     rows = df.where(F.col(label).isNotNull()).withColumn("label_text", F.col(label).cast("string"))
     indexer = StringIndexer(inputCol="label_text", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    table = VectorAssembler(inputCols=names, outputCol="x").transform(indexer.transform(rows)).select(ident, "x", "y", (bucket(ident, 100, seed) < test_percent).alias("test")).persist()
+    indexed = indexer.transform(rows)
+    features = indexed.withColumn("x", F.col(vector[0])) if vector else VectorAssembler(inputCols=names, outputCol="x").transform(indexed)
+    table = features.select(ident, "x", "y", (bucket(ident, 100, seed) < test_percent).alias("test")).persist()
     train, test = table.where("NOT test"), table.where("test")
 
     def fit(part: DataFrame) -> LogisticRegressionModel:

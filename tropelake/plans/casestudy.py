@@ -223,8 +223,9 @@ def year_count(spark, sf):
 WITH {FACTS}, d AS (SELECT DISTINCT episode FROM pod), c AS (SELECT episode, cluster, count(*) AS n FROM pod WHERE cluster < 50 GROUP BY ALL)
 SELECT d.episode, list_transform(range(50), lambda i: CAST(coalesce(m[i], 0) AS INTEGER)) AS counts FROM d LEFT JOIN (SELECT episode, map_from_entries(list((CAST(cluster AS BIGINT), n))) AS m FROM c GROUP BY episode) x USING (episode)""")
 def doc_cluster_matrix(spark, sf):
+    """The first 50 clusters, as its SQL has them; ``doc_cluster_sparse`` has all."""
     rows = pod(spark, sf)
-    return A.document_cluster_matrix(rows, rows, "episode", "cluster", 50)
+    return A.document_cluster_matrix(rows.where("cluster < 50"), rows, "episode", "cluster", 50)
 
 
 @query(f"""WITH {FACTS} SELECT episode, count(*) FILTER (target_group = 'Immigrants') AS "Target Immigrants", count(*) FILTER (target_group = 'Police') AS "Target Police" FROM pod GROUP BY episode""")

@@ -53,23 +53,26 @@ def tfidf_words(spark, sf):
 
 
 def _regression_input(spark, sf):
-    from ..operators.aggregates import document_cluster_wide
+    """Episodes with their counts over every cluster that occurs, and the vector's column and names."""
+    from ..operators.aggregates import document_cluster_vectors
     from .casestudy import pod
 
     facts = pod(spark, sf)
-    wide = document_cluster_wide(facts, facts, "episode", "cluster", 25)
-    return wide.join(facts.groupBy("episode").agg(F.min("polarity").alias("polarity")), "episode")
+    counts, clusters = document_cluster_vectors(facts, facts, "episode", "cluster")
+    return counts.join(facts.groupBy("episode").agg(F.min("polarity").alias("polarity")), "episode"), ("x", [f"Cluster {c}" for c in clusters])
 
 
 @query()
 def lr_fit(spark, sf):
-    fit = R.regression(_regression_input(spark, sf), "episode", "polarity", folds=3, repeats=1)
+    rows, vector = _regression_input(spark, sf)
+    fit = R.regression(rows, "episode", "polarity", folds=3, repeats=1, vector=vector)
     return spark.createDataFrame(list(fit.metrics.items()), "metric STRING, value DOUBLE")
 
 
 @query()
 def lr_weights(spark, sf):
-    return R.regression(_regression_input(spark, sf), "episode", "polarity", folds=2, repeats=1).weights
+    rows, vector = _regression_input(spark, sf)
+    return R.regression(rows, "episode", "polarity", folds=2, repeats=1, vector=vector).weights
 
 
 @query()
