@@ -1,8 +1,9 @@
 """Operators and queries do the whole job: no row is dropped, sampled or cut unasked."""
 
+import numpy as np
 import pytest
 
-from tropelake.operators import aggregates, regression
+from tropelake.operators import aggregates, metrics, regression
 
 
 def df(spark, rows, schema):
@@ -42,3 +43,38 @@ def test_regressions_of_the_queries_have_every_cluster(spark):
         casestudy.pod = held
     assert names == ["Cluster 3", "Cluster 2000", "Cluster 16893"]
     assert {r["episode"]: r[column].toArray().tolist() for r in rows.collect()} == {"e1": [1, 0, 0], "e2": [0, 1, 1]}
+
+
+def exact_silhouette(x, label):
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    own = (label[:, None] == label).sum(axis=1) - 1
+    a = np.where(label[:, None] == label, d, 0).sum(axis=1) / np.maximum(own, 1)
+    b = np.min([np.where(label == k, np.inf, d[:, label == k].mean(axis=1)) for k in np.unique(label)], axis=0)
+    return np.where(own > 0, (b - a) / np.maximum(a, b), 0).mean()
+
+
+def test_silhouette_is_exact_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x, label = rng.standard_normal((90, 3)), rng.integers(0, 7, 90)
+    x[:, 0] += label
+    label[-1] = 99  # a lone member
+    v = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(90)], "i INT, label INT, v ARRAY<DOUBLE>")
+    assert metrics.silhouette(v, "i", "label", "v", block=16).first()[0] == pytest.approx(exact_silhouette(x, label))
+    assert metrics.silhouette(v, "i", "label", "v", sample=20).first()[0] is not None
+    assert metrics.silhouette(v.limit(0), "i", "label", "v").first()[0] is None
+
+
+def test_silhouette_takes_no_sample_by_itself(spark):
+    rng = np.random.default_rng(8)
+    x, label = rng.standard_normal((5600, 2)), rng.integers(0, 3, 5600)
+    x[:, 0] += label
+    v = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(len(x))], "i INT, label INT, v ARRAY<DOUBLE>")
+    a = np.zeros(len(x))
+    for at in np.array_split(np.arange(len(x)), 8):
+        d = np.sqrt(((x[at][:, None] - x) ** 2).sum(axis=2))
+        mean = np.stack([d[:, label == k].sum(axis=1) / ((label == k).sum() - (label[at] == k)) for k in range(3)], axis=1)
+        own = mean[np.arange(len(at)), label[at]]
+        mean[np.arange(len(at)), label[at]] = np.inf
+        other = mean.min(axis=1)
+        a[at] = (other - own) / np.maximum(own, other)
+    assert metrics.silhouette(v, "i", "label", "v").first()[0] == pytest.approx(a.mean(), abs=1e-9)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector, squared_distance, wide
@@ -161,39 +161,44 @@ def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.select(F.try_divide(F.col("bcss") * (F.col("n") - F.col("k")), F.col("wcss") * (F.col("k") - 1)).alias("calinski_harabasz"))
 
 
-def silhouette(df: DataFrame, ident: str, label: str, vector: str, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """Mean Euclidean silhouette of a hash sample of at most ``sample`` rows, as it needs all pairs; a lone member counts 0, and so does a single cluster.
+def silhouette(df: DataFrame, ident: str, label: str, vector: str, sample: int | None = None, seed: int = 42, block: int = 1024) -> DataFrame:
+    """Mean Euclidean silhouette of all rows, exactly; a lone member counts 0, and so does a single cluster.
 
-    The sample, a bounded number of vectors, travels to the tasks that compare its parts with it in blocks.
+    Every row is compared with all others, in pairs of blocks of ``block`` rows sorted by label; a pair gives each row's
+    sums of distances per label, which an aggregation adds up.  Time grows with the square of the rows.  ``sample``: only
+    a hash sample of so many rows, as its own population; the result is an estimate then.
     """
     from .sampling import draw
 
-    usable = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
-    rows = draw(usable.select(F.col(ident).alias("i"), F.col(label).cast("string").alias("l"), wide(F.col(vector)).alias("v")), "i", sample, seed).toPandas()
-    schema = "silhouette DOUBLE"
-    if not len(rows):
-        return df.sparkSession.createDataFrame([(None,)], schema)
-    x = np.stack(rows["v"].to_numpy())
-    names, label_no = np.unique(rows["l"].to_numpy(), return_inverse=True)
-    member = np.eye(len(names))[label_no]
-    sizes = member.sum(axis=0)
+    usable = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(ident).alias("i"), F.col(label).cast("string").alias("l"), wide(F.col(vector)).alias("v"))
+    if sample is not None:
+        usable = draw(usable, "i", sample, seed)
+    sizes = usable.groupBy("l").agg(F.count("*").alias("n"))
+    n = usable.count()
+    near = usable.withColumn("b", F.pmod(F.xxhash64("l"), F.lit(-(-n // block) or 1)))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("l", "i", "v")) - 1
+    blocks = near.withColumn("c", F.floor(place / block)).groupBy("b", "c").agg(F.array_sort(F.collect_list(F.struct("l", "i", "v"))).alias("m"))
+    blocks = blocks.select("b", "c", F.col("m.l").alias("l"), F.flatten("m.v").alias("v"))
+    other = blocks.withColumnsRenamed({"b": "b2", "c": "c2", "l": "l2", "v": "v2"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in np.array_split(pdf["n"].to_numpy(), max(1, len(pdf) // 256)):
-                d = np.sqrt(np.maximum(((x[at] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x[at] @ x.T), 0))
-                d[np.arange(len(at)), at] = 0
-                sums, own = d @ member, label_no[at]
-                mine = np.arange(len(at)), own
-                a = sums[mine] / np.maximum(sizes[own] - 1, 1)
-                other = sums / sizes
-                other[mine] = np.inf
-                b = other.min(axis=1)
-                s = np.where((sizes[own] < 2) | np.isinf(b), 0.0, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1))
-                yield pd.DataFrame({"s": s})
-
-    numbers = df.sparkSession.range(len(rows)).withColumnRenamed("id", "n")
-    return numbers.mapInPandas(run, "s DOUBLE").agg(F.avg("s").alias("silhouette"))
+            for b, c, l, v, b2, c2, l2, v2 in pdf.itertuples(index=False):
+                x, y = v.reshape(len(l), -1), v2.reshape(len(l2), -1)
+                d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
+                if (b, c) == (b2, c2):
+                    np.fill_diagonal(d, 0)
+                first = np.flatnonzero(np.r_[True, l2[1:] != l2[:-1]])
+                total = np.add.reduceat(d, first, axis=1)
+                yield pd.DataFrame({"b": b, "c": c, "place": np.repeat(np.arange(len(x)), len(first)), "l": np.repeat(l, len(first)), "l2": np.tile(l2[first], len(x)), "d": total.ravel()})
+
+    pairs = blocks.repartition(df.sparkSession.sparkContext.defaultParallelism, "b", "c").crossJoin(other)
+    sums = pairs.select("b", "c", "l", "v", "b2", "c2", "l2", "v2").mapInPandas(run, "b BIGINT, c BIGINT, place BIGINT, l STRING, l2 STRING, d DOUBLE")
+    means = sums.groupBy("b", "c", "place", "l", "l2").agg(F.sum("d").alias("d")).join(sizes.withColumnRenamed("l", "l2"), "l2")
+    same = F.col("l") == F.col("l2")
+    rows = means.groupBy("b", "c", "place").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("o"))
+    s = F.when(F.col("a").isNull() | F.col("o").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("o") - F.col("a"), F.greatest("a", "o")), F.lit(0.0)))
+    return rows.agg(F.avg(s).alias("silhouette"))
 
 
 def exact_purity(df: DataFrame, label: str, features: list[str]) -> DataFrame:
