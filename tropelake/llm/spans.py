@@ -1,7 +1,7 @@
 """Long spans shared between records: k-mer seeds, collinear chains of matches, alignment of the gaps.
 
 Seeds are minimizers (Roberts et al. 2004; "winnowing", Schleimer et al., SIGMOD 2003): every window of ``min_span``
-characters picks one of its k-mers by a hash, so equal windows pick equal seeds.  Chains are found with a Fenwick tree
+characters picks one of its k-mers by a hash, so equal windows pick equal seeds.  Chains are found with a segment tree
 over match ends (Abouelhoda and Ohlebusch, "Chaining algorithms for multiple genome comparison", 2005).
 """
 
@@ -134,37 +134,51 @@ def chain(x: np.ndarray, y: np.ndarray, size: np.ndarray, gap_cost: float, max_g
     """Best collinear chains of matches, each match in one chain; matches are sorted by x.
 
     A match may follow another that ends before it in both texts, at most ``max_gap`` characters before in each; a gap
-    costs ``gap_cost`` for every character of it.  As the cost is linear, the best predecessor is a prefix maximum over
-    ends in y, kept in a Fenwick tree into which matches enter in the order of their ends in x.
+    costs ``gap_cost`` for every character of it.  As the cost is linear, the best predecessor is a maximum over ends in
+    the window of y, kept in a segment tree with a leaf for each match; matches enter it in the order of their ends in x
+    and leave it when these lie more than ``max_gap`` back.
     """
     n = len(x)
-    ends = np.unique(y + size)
-    slot = np.searchsorted(ends, y + size) + 1
-    asked = np.searchsorted(ends, y, side="right")
-    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(ends) + 1)
+    order = np.argsort(y + size, kind="stable")
+    leaf = np.empty(n, np.int64)
+    leaf[order] = np.arange(n) + n
+    ends = (y + size)[order]
+    low, high = np.searchsorted(ends, y - max_gap, side="left") + n, np.searchsorted(ends, y, side="right") + n
+    nothing = (-np.inf, -1)
+    tree: list[tuple[float, int]] = [nothing] * (2 * n)
+
+    def put(at: int, value: tuple[float, int]) -> None:
+        tree[at] = value
+        while at > 1:
+            at >>= 1
+            tree[at] = max(tree[2 * at], tree[2 * at + 1])
+
     score, parent = size.astype(float), np.full(n, -1)
     waiting = np.argsort(x + size, kind="stable")
-    entered = 0
+    done = (x + size)[waiting]
+    entered = left = 0
     for i in range(n):
-        while entered < n and x[waiting[entered]] + size[waiting[entered]] <= x[i]:
+        while entered < n and done[entered] <= x[i]:
             j = int(waiting[entered])
-            value = (score[j] + gap_cost * (x[j] + y[j] + 2 * size[j]), j)
-            at = int(slot[j])
-            while at < len(tree):
-                if value > tree[at]:
-                    tree[at] = value
-                at += at & -at
+            put(int(leaf[j]), (score[j] + gap_cost * (x[j] + y[j] + 2 * size[j]), j))
             entered += 1
-        at, best = int(asked[i]), (-np.inf, -1)
-        while at:
-            best = max(best, tree[at])
-            at -= at & -at
-        j = best[1]
-        if j >= 0 and max(x[i] - x[j] - size[j], y[i] - y[j] - size[j]) <= max_gap:
-            gain = best[0] - gap_cost * (x[i] + y[i])
-            if gain > 0:
-                score[i] += gain
-                parent[i] = j
+        while left < entered and done[left] < x[i] - max_gap:
+            put(int(leaf[waiting[left]]), nothing)
+            left += 1
+        a, b, best = int(low[i]), int(high[i]), nothing
+        while a < b:
+            if a & 1:
+                best = max(best, tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = max(best, tree[b])
+            a >>= 1
+            b >>= 1
+        gain = best[0] - gap_cost * (x[i] + y[i])
+        if gain > 0:
+            score[i] += gain
+            parent[i] = best[1]
     used, out = np.zeros(n, bool), []
     for i in np.argsort(-score, kind="stable"):
         if not used[i]:
@@ -244,7 +258,7 @@ def shared_spans(df: DataFrame, ident: str, text: str, min_span: int = 160, seed
        with the class's smallest (the smallest itself with the largest) record: no pairs of members are formed.
     3. Of seeds with several classes, all windows of one run per class (two, if several records have it) are compared by their hashes in the same way.
        So a seed that is in any share of all records costs as many rows as it has occurrences.
-    4. Matches of two records that touch on a diagonal are joined and chained by a Fenwick tree with ``gap_cost`` a
+    4. Matches of two records that touch on a diagonal are joined and chained by a segment tree with ``gap_cost`` a
        character; gaps are at most ``max_gap`` long.
 
     Characters are code points.  ``ident`` is an integer column of unique values; rows with a null identifier or text,
