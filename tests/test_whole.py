@@ -87,3 +87,11 @@ def test_chain_takes_the_best_predecessor_within_the_gap():
     assert chain(x, x, size, 0.5, 399) == [[0], [1, 2]]
     x, size = np.array([0, 2450, 2630]), np.array([2000, 160, 300])
     assert sorted(map(tuple, chain(x, x, size, 0.5, 400))) == [(0,), (1, 2)]
+
+
+def test_overlaps_come_from_all_events(spark, tmp_path):
+    from tropelake.plans import relational as plans
+
+    events = df(spark, [("u", t, us) for t, us in (("click", 7), ("click", 13), ("view", 12), ("view", 20))], "user_id STRING, event_type STRING, us LONG")
+    events.selectExpr("user_id", "event_type", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in plans.interval_overlap_all(spark, str(tmp_path)).collect()] == [("u", "click", "view")]

@@ -76,8 +76,23 @@ def interval_containment(spark, sf):
 WITH s AS (SELECT user_id, event_type, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events WHERE epoch_us(ts) % 7 < 3 GROUP BY ALL)
 SELECT x.user_id, x.event_type AS type_a, y.event_type AS type_b FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type < y.event_type AND x.a < y.b AND x.b > y.a""")
 def interval_overlap(spark, sf):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    spans = table(spark, sf, "events").withColumn("us", us).where("us % 7 < 3").groupBy("user_id", "event_type").agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    """Over the events that its SQL picks; ``interval_overlap_all`` takes all."""
+    return _event_overlaps(_events(spark, sf).where("us % 7 < 3"))
+
+
+@query("""
+WITH s AS (SELECT user_id, event_type, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY ALL)
+SELECT x.user_id, x.event_type AS type_a, y.event_type AS type_b FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type < y.event_type AND x.a < y.b AND x.b > y.a""")
+def interval_overlap_all(spark, sf):
+    return _event_overlaps(_events(spark, sf))
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def _event_overlaps(events):
+    spans = events.groupBy("user_id", "event_type").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     other = spans.select("user_id", F.col("event_type").alias("type_b"), F.col("a").alias("c"), F.col("b").alias("d"))
     met = relational.overlapping(spans, other, ["user_id"], ("a", "b"), ("c", "d"))
     return met.where("event_type < type_b").select("user_id", F.col("event_type").alias("type_a"), "type_b")
