@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tropelake.operators import aggregates, metrics, regression
+from tropelake.operators import aggregates, metrics, regression, sampling
 
 
 def df(spark, rows, schema):
@@ -95,3 +95,10 @@ def test_overlaps_come_from_all_events(spark, tmp_path):
     events = df(spark, [("u", t, us) for t, us in (("click", 7), ("click", 13), ("view", 12), ("view", 20))], "user_id STRING, event_type STRING, us LONG")
     events.selectExpr("user_id", "event_type", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS ts").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in plans.interval_overlap_all(spark, str(tmp_path)).collect()] == [("u", "click", "view")]
+
+
+def test_every_shuffled_row_has_a_place(spark):
+    rows = df(spark, [(f"s{i % 9}", i) for i in range(700)], "source STRING, doc_id INT")
+    got = sampling.shuffled_places(rows, "source", ["doc_id"]).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 701))
+    assert [(r["source"], r["doc_id"]) for r in got] == [tuple(r) for r in sampling.shuffled_documents(rows, "source", ["doc_id"]).collect()]

@@ -36,6 +36,14 @@ def shuffled_documents(df: DataFrame, doc: str, order: list[str], seed: int = 42
     return df.orderBy(lot(doc, seed), doc, *order)
 
 
+def shuffled_places(df: DataFrame, doc: str, order: list[str], seed: int = 42) -> DataFrame:
+    """Rows with their ``place`` 1, 2, … in that order, without one task for all rows; ``doc`` and ``order`` together are unique."""
+    from .ranking import running_total
+
+    keyed = df.withColumn("__k", F.struct(lot(doc, seed).alias("__l"), doc, *order)).withColumn("__one", F.lit(1).cast("long"))
+    return running_total(keyed, "__k", "__one", "place").withColumn("place", F.col("place") + 1).drop("__k", "__one")
+
+
 def bucket(ident: str, n: int, seed: int = 42) -> Column:
     """A number below ``n`` for each identifier."""
     return F.pmod(F.conv(F.substring(lot(ident, seed), 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -200,8 +199,14 @@ def stratified_sample(spark, sf):
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {LOT.format('source')}, source, doc_id) AS INTEGER) AS place FROM documents WHERE source IS NOT NULL QUALIFY place <= 500")
 def doc_shuffle(spark, sf):
-    rows = sampling.shuffled_documents(table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id"), "source", ["doc_id"]).limit(500)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(sampling.lot("source"), "source", "doc_id"))).select("doc_id", "place")
+    """The first 500 places, as its SQL has them; ``doc_shuffle_all`` has every row's."""
+    return doc_shuffle_all(spark, sf).where("place <= 500")
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {LOT.format('source')}, source, doc_id) AS INTEGER) AS place FROM documents WHERE source IS NOT NULL")
+def doc_shuffle_all(spark, sf):
+    rows = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id")
+    return sampling.shuffled_places(rows, "source", ["doc_id"]).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 BUCKET = "CAST(CAST('0x' || substr(" + LOT + ", 1, 8) AS BIGINT) % {} AS INTEGER)"
