@@ -89,6 +89,14 @@ def test_chain_takes_the_best_predecessor_within_the_gap():
     assert sorted(map(tuple, chain(x, x, size, 0.5, 400))) == [(0,), (1, 2)]
 
 
+def test_jaccard_compares_every_dataset(spark, tmp_path):
+    from tropelake.plans import text
+
+    scores = df(spark, [("d", "d_0", "red house", "podcasts"), ("d", "d_1", "red tree", "podcasts"), ("e", "e_0", "blue", "tweets_immigration")], "doc_id STRING, id STRING, sentence STRING, dataset STRING")
+    scores.write.parquet(f"{tmp_path}/llm_met_scores.parquet")
+    assert [tuple(r) for r in text.jaccard_pairs_all(spark, str(tmp_path)).collect()] == [("d_0", "d_1", pytest.approx(1 / 3))]
+
+
 def test_overlaps_come_from_all_events(spark, tmp_path):
     from tropelake.plans import relational as plans
 

@@ -154,8 +154,20 @@ WITH s AS (SELECT DISTINCT doc_id, id, {_WORDSET} AS w FROM llm_met_scores WHERE
 SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 9) AS jaccard
 FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id""")
 def jaccard_pairs(spark, sf):
-    """Word-set similarity of the sentences of one document."""
-    rows = table(spark, sf, "llm_met_scores").where("dataset = 'tweets_immigration' AND sentence IS NOT NULL").select("doc_id", "id", "sentence").distinct().select("doc_id", "id", T.word_set(F.col("sentence")).alias("w"))
+    """Word-set similarity of the sentences of one document, of the dataset that its SQL names; ``jaccard_pairs_all`` takes all."""
+    return _jaccard_pairs(table(spark, sf, "llm_met_scores").where("dataset = 'tweets_immigration'"))
+
+
+@query(f"""
+WITH s AS (SELECT DISTINCT doc_id, id, {_WORDSET} AS w FROM llm_met_scores WHERE sentence IS NOT NULL)
+SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 9) AS jaccard
+FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id""")
+def jaccard_pairs_all(spark, sf):
+    return _jaccard_pairs(table(spark, sf, "llm_met_scores"))
+
+
+def _jaccard_pairs(scores):
+    rows = scores.where("sentence IS NOT NULL").select("doc_id", "id", "sentence").distinct().select("doc_id", "id", T.word_set(F.col("sentence")).alias("w"))
     other = rows.select("doc_id", F.col("id").alias("id_b"), F.col("w").alias("v"))
     pairs = rows.join(other, "doc_id").where("id < id_b")
     return pairs.select(F.col("id").alias("id_a"), "id_b", F.round(T.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
