@@ -80,16 +80,51 @@ def test_report_lists_typical_members(spark):
 def test_trees_merge_and_bound_their_size():
     rng = np.random.default_rng(5)
     x, _ = clustered(rng, [200, 200, 50])
-    whole, part = Tree(D, 0.6, 1000), [Tree(D, 0.6, 1000) for _ in range(3)]
+    whole, part = Tree(D, 0.6), [Tree(D, 0.6) for _ in range(3)]
     for k, p in enumerate(part):
         p.add(np.ones(len(x[k::3])), x[k::3])
         whole.add(*p.entries())
     weight, sums = whole.entries()
     assert weight.sum() == len(x) and np.allclose(sums.sum(axis=0), x.sum(axis=0))
     assert len(np.unique(ward(weight, sums, 0.65))) == 3
-    small = Tree(D, 0.9, 40)
-    small.add(np.ones(500), unit(rng.standard_normal((500, D))))
-    assert small.least < 0.9 and small.entries()[0].sum() == 500
+    lone = Tree(D, 0.9)
+    lone.add(np.ones(500), unit(rng.standard_normal((500, D))))
+    assert lone.least == 0.9 and lone.size == len(lone.entries()[0]) == 500
+
+
+def apart(rng, cosine, sizes, low=0.72, high=0.86):
+    """Clusters around centres of the same mutual cosine; each member at a cosine from low to high to its centre."""
+    base = np.linalg.qr(rng.standard_normal((D, len(sizes) + 1)))[0].T
+    centres = unit(np.sqrt(cosine) * base[:1] + np.sqrt(1 - cosine) * base[1:])
+    out = []
+    for c, n in zip(centres, sizes):
+        side = rng.standard_normal((n, D))
+        side = unit(side - (side @ c)[:, None] * c)
+        side = unit(side - side.mean(axis=0)) if n > 9 else side
+        cos = rng.uniform(low, high, (n, 1))
+        out.append(cos * c + np.sqrt(1 - cos**2) * side)
+    return np.vstack(out), np.repeat(np.arange(len(sizes)), sizes)
+
+
+@pytest.mark.parametrize("more", [{}, {"max_entries": 60}, {"max_entries": 60, "cell_entries": 128}])
+def test_many_lone_rows_keep_near_clusters_apart(spark, more):
+    """Trees far under the number of lone rows, and cells, change nothing."""
+    rng = np.random.default_rng(9)
+    x, label = apart(rng, 0.55, [40, 24, 14, 12])
+    lone = unit(rng.standard_normal((6000, D)))
+    lone = lone[(lone @ unit(np.array([x[label == k].mean(axis=0) for k in range(4)])).T).max(axis=1) < 0.5][:1200]
+    order = rng.permutation(len(x) + len(lone))
+    where = np.argsort(order)
+    got = found(frame(spark, np.vstack([x, lone])[order], [("p", None)] * len(order)), **more)
+    assert got == sorted(sorted(where[: len(x)][label == k].tolist()) for k in range(4))
+
+
+def test_thresholds_follow_from_the_parameters(spark):
+    """Four records, one for each pattern of nulls, are a cluster of four."""
+    rng = np.random.default_rng(10)
+    x, _ = clustered(rng, [4])
+    feats = [("p", "q"), ("p", None), (None, "q"), (None, None)]
+    assert found(frame(spark, x, feats), min_members=4) == [[0, 1, 2, 3]] and found(frame(spark, x, feats), min_members=5) == []
 
 
 def test_ward_joins_cheapest_first():
