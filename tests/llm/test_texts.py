@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tropelake.llm")
 from tropelake.llm.mix import Mixture, min_cost_flow, plan
 from tropelake.llm.pack import Bins, pack, pack_report
-from tropelake.llm.spans import Powers, Rolling, chain, fuzzy_passages, minimizer_runs, shared_lengths, shared_spans, sliding_min
+from tropelake.llm.spans import Hasher, chain, edit_distance, fuzzy_passages, minimizer_runs, shared_lengths, shared_spans, sliding_min
 from tropelake.llm.tokens import token_counts
 
 TEXTS = ["It's 3.5% – naïve!", None, "", "  \t", "¿Qué? x_1 ١٢", "a" * 100_000 + " !!"]
@@ -157,7 +157,7 @@ def test_spans_are_verbatim_and_passages_are_aligned(spark):
     text = dict(docs)
     rows = spans.collect()
     assert {r["doc"] for r in rows} == {1, 2} and all(text[r["doc"]][r["x"] : r["x"] + r["size"]] == text[r["other"]][r["y"] : r["y"] + r["size"]] for r in rows)
-    passages = {(r["doc"], r["other"]): r for r in fuzzy_passages(spans, df, "doc_id", "text").collect()}
+    passages = {(r["doc"], r["other"]): r for r in fuzzy_passages(df, "doc_id", "text", 30, 20).collect()}
     p = passages[1, 2]
     assert p["start"] == 11 and p["end"] == len(text[1]) and p["edits"] == 3 and 0.96 < p["identity"] < 1
 
@@ -170,14 +170,54 @@ def test_no_texts_no_spans(spark):
 
 def test_seeds_cover_every_window():
     rng = random.Random(9)
-    text = "".join(rng.choice("ab cdé") for _ in range(800)) + "q" * 200
-    seed, at, first, last = minimizer_runs(Rolling(text, Powers()), 50, 20)
-    assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
-    assert ((at >= last) & (at + 20 <= first + 50)).all()
-    r = Rolling(text, Powers())
-    assert (seed == r.of(at, at + 20)).all()
+    text = "".join(rng.choice("ab cdé😀") for _ in range(800)) + "q" * 200
+    texts = [text, "x" * 50, text[300:500], text]
+    hasher = Hasher()
+    which, seed, run, first, last = minimizer_runs(hasher, texts, 50, 20)
+    for k, t in enumerate(texts):
+        f, e = first[which == k], last[which == k]
+        assert f[0] == 0 and e[-1] == len(t) - 50 and (f[1:] == e[:-1] + 1).all()
+    same = lambda k: list(zip(seed[which == k], run[which == k], first[which == k], last[which == k]))
+    assert same(0) == same(3) and set(seed[which == 2]) <= set(seed[which == 0])
+    hasher.read(text)
+    known = set(hasher.all(20).tolist())
+    assert set(seed[which == 0].tolist()) <= known and len(known) > 700
     x = np.array([rng.randrange(99) for _ in range(57)], np.uint64)
-    assert sliding_min(x, 7).tolist() == [min(x[i : i + 7]) for i in range(51)]
+    assert all(sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(58 - w)] for w in (1, 2, 7, 8, 9))
+
+
+def test_long_texts_are_hashed_in_pieces(spark):
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = fresh(70_000)
+    docs = [(1, fresh(30_000) + "1" + common + "2" + fresh(9)), (2, fresh(66_000) + "3" + common), (3, fresh(100) + "4" + common[65_000:65_400] + "5" + fresh(50))]
+    got = {r["doc_id"]: r["shared_chars"] for r in shared_lengths(shared_spans(spark.createDataFrame(docs, "doc_id INT, text STRING"), "doc_id", "text"), "doc_id").collect()}
+    assert got == {1: 70_000, 2: 70_000, 3: 400}
+
+
+def test_edit_distance_is_that_of_the_table():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc😀") for _ in range(rng.randrange(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            left, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(left[j] + (x != y), left[j + 1] + 1, row[j] + 1))
+        assert edit_distance(a, b) == row[-1], (a, b)
+
+
+def test_planted_passages_come_out_though_each_part_has_an_older_record(spark):
+    """Records 5 and 6 share two spans with a gap between; record 1 has the first span, record 2 the second."""
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghijk ") for _ in range(n))
+    one, two = "1" + fresh(88) + "2", "3" + fresh(118) + "4"
+    docs = [(1, fresh(50) + one + fresh(80)), (2, fresh(10) + two + fresh(30)), (5, fresh(60) + one + "XX" + two + fresh(40)), (6, fresh(20) + one + "YYYY" + two), (7, fresh(400)), (8, None)]
+    rows = {(r["doc"], r["other"]): r for r in fuzzy_passages(spark.createDataFrame(docs, "doc_id INT, text STRING"), "doc_id", "text", 40, 24, max_gap=60).collect()}
+    for pair, start, other in (((5, 6), 60, 20), ((6, 5), 20, 60)):
+        r = rows[pair]
+        assert (r["start"], r["other_start"], r["exact_chars"], r["edits"]) == (start, other, 210, 4)
+    assert rows[1, 6]["exact_chars"] >= 90 and rows[2, 6]["exact_chars"] >= 120 and all(7 not in p for p in rows)
 
 
 def test_chain_is_the_best_collinear_one():

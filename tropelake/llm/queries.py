@@ -129,16 +129,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.join(got, "source", "left").crossJoin(F.broadcast(total)).select("source", "target_pct", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), (100 * F.coalesce("n_tokens", F.lit(0)) / F.col("all")).alias("actual_pct"))
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 160)
-
-
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_lengths(_spans(spark, sf_dir), "doc_id")
+    return shared_lengths(shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text", 160), "doc_id")
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_passages(_spans(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+    return fuzzy_passages(table(spark, sf_dir, "documents"), "doc_id", "text", 160)
 
 
 def queries() -> dict:
