@@ -77,6 +77,13 @@ def test_cutoffs_match_brute_force(spark, monkeypatch, salt_rows):
         assert (got[s]["cutoff"], got[s]["n_rows"], got[s]["n_kept"]) == (want, len(xs), sum(x >= want for x in xs)), s
 
 
+def test_cutoffs_close_over_all_magnitudes(spark):
+    xs = [s * 10.0**e for e in range(-300, 300, 7) for s in (1, -1)] + [0.0, 5e-324, -5e-324, 1.7e308]
+    rows = [(f"p{p}", x, p) for p in (1, 20, 49, 50, 51, 80, 99) for x in xs]
+    got = {r["src"]: r for r in cutoffs(spark.createDataFrame(rows, "src STRING, score DOUBLE, pct INT"), "src", "score", "pct").collect()}
+    assert all(got[f"p{p}"]["cutoff"] == brute_cutoff(xs, p) for p in (1, 20, 49, 50, 51, 80, 99)) and max(r["n_rounds"] for r in got.values()) < 100
+
+
 def test_cutoffs_drop_unusable_rows_and_take_empty_tables(spark):
     schema = "src STRING, score DOUBLE, pct INT"
     rows = [("a", float("nan"), 50), ("a", float("inf"), 50), ("a", None, 50), (None, 0.5, 50), ("b", 0.5, None), ("a", 0.5, 50)]
@@ -159,7 +166,26 @@ def test_split_texts_edge_cases(spark):
 
 def test_boundaries_know_their_strength():
     at = Boundaries("One two, three. four five")
-    assert at.last(0, 25, 0) == 16 and at.last(0, 14, 0) == 9 and at.last(0, 7, 0) == 4 and at.last(16, 20, 16) == 20
+    last = lambda low, high, base: at.snap(high, low, high, base)
+    assert last(0, 25, 0) == 16 and last(0, 14, 0) == 9 and last(0, 7, 0) == 4 and last(16, 20, 16) == 20
+    assert at.snap(12, 10, 20) == 16 and at.snap(12, 3, 15) == 9 and at.snap(20, 16, 25) == 21 and at.snap(2, 0, 3) == 2
+
+
+def test_balanced_pieces_fit_under_any_limits():
+    """A word longer than a piece, and an overlap of almost half the limit."""
+    rng = random.Random(13)
+    for text in ("y" * 1003, ("z" * 70 + " ") * 20, random_text(rng, 900), " " * 500, ("a b. " * 9 + "w" * 80) * 9):
+        for limit, overlap in ((51, 25), (100, 49), (100, 0), (60, 7)):
+            got = balanced_pieces(text, limit, overlap)
+            assert got[0][0] == 0 and got[-1][1] == len(text) and all(0 < b - a <= limit for a, b in got)
+            assert all(a < c and (c < b or c == b and not overlap) for (a, b), (c, _) in zip(got, got[1:]))
+
+
+def test_pieces_come_with_or_without_their_text(spark):
+    df = spark.createDataFrame([("d", "Long enough. " * 20)], "id STRING, text STRING")
+    rows = split_texts(df, "id", "text", 100, 10).collect()
+    assert all(r["piece"] == ("Long enough. " * 20)[r["start_char"] : r["end_char"]] for r in rows)
+    assert [r[:4] for r in rows] == [tuple(r) for r in split_texts(df, "id", "text", 100, 10, with_text=False).collect()]
 
 
 def test_score_columns_may_be_decimal_free(spark):

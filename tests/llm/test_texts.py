@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tropelake.llm")
-from tropelake.llm.mix import Mixture, min_cost_flow, plan
+from tropelake.llm.mix import Mixture, plan
 from tropelake.llm.pack import Bins, pack, pack_report
 from tropelake.llm.spans import Hasher, chain, edit_distance, fuzzy_passages, minimizer_runs, shared_lengths, shared_spans, sliding_min
 from tropelake.llm.tokens import token_counts
@@ -55,33 +56,138 @@ def test_packing_keeps_every_limit_and_every_token(spark, rule):
 
 
 def test_packing_under_attention_cost_and_empty(spark):
-    rows = packed(spark, [50] * 10, capacity=100, attention=0.5)
+    rows = packed(spark, [50] * 10 + [100, 71, 30, 30], capacity=100, attention=0.5)
     load = {}
     for r in rows:
         load[r["bin"]] = load.get(r["bin"], 0) + r["n_tokens"] ** 2
-    assert max(load.values()) <= 5000 and len(load) == 5
+    assert max(load.values()) <= 5000 and max(r["n_tokens"] for r in rows) == 70 and sum(r["n_tokens"] for r in rows) == 731
     assert packed(spark, []) == []
     df = spark.createDataFrame([(1, 512)], "doc INT, n INT")
     assert tuple(pack_report(pack(df, "doc", "n"), 512).first()) == (1, 1, 512, 512, 100.0)
+    with pytest.raises(ValueError):
+        packed(spark, [1], weights=(1.0, -1.0, 1.0))
+
+
+def one_by_one(capacity, items, rule, weights):
+    """Every piece by itself into the best of all open bins: residuals of the bins."""
+    bins = []
+    for item in items:
+        room = [b for b in bins if (b >= item).all()]
+        if room:
+            if rule == "norm":
+                bin_ = min(room, key=lambda b: (((b - item) / capacity) ** 2 * weights).sum())
+            else:
+                bin_ = max(room, key=lambda b: (b * item / capacity**2 * weights).sum() / ((b / capacity) ** 2 * weights).sum())
+        else:
+            bin_ = capacity.astype(float).copy()
+            bins.append(bin_)
+        bin_ -= item
+    return bins
+
+
+@pytest.mark.parametrize("rule, weights", [("norm", (1.0, 0.0)), ("norm", (1.0, 0.3)), ("dot", (1.0, 0.5))])
+def test_classes_of_bins_do_what_single_bins_do(rule, weights):
+    rng = np.random.default_rng(6)
+    capacity, weights = np.array([100, 7]), np.array(weights)
+    sizes = np.sort(rng.integers(1, 60, 700))[::-1]
+    bins = Bins(capacity, rule, weights)
+    names = np.concatenate([bins.put(np.array([n, 1]), int((sizes == n).sum())) for n in dict.fromkeys(sizes.tolist())])
+    load = np.bincount(names, weights=sizes)
+    assert load.max() <= 100 and np.bincount(names).max() <= 7 and load.sum() == sizes.sum()
+    single = one_by_one(capacity, [np.array([n, 1.0]) for n in sizes], rule, weights)
+    assert abs(len(load) - len(single)) <= max(1, 0.02 * len(single))
 
 
 def test_best_fit_fills_the_tightest_bin():
-    bins = Bins(np.array([10.0, 5, 100]), "norm")
-    a, b = bins.put(np.array([7.0, 1, 49])), bins.put(np.array([5.0, 1, 25]))
-    assert bins.put(np.array([3.0, 1, 9])) == a and bins.put(np.array([5.0, 1, 25])) == b
-
-
-def test_flow_is_cheapest():
-    flow = min_cost_flow(4, [(0, 1, 5, 0), (1, 2, 3, 1), (1, 2, 5, 4), (1, 3, 1, 9), (2, 3, 9, 0)], 0, 3)
-    assert flow == [5, 3, 2, 0, 5]  # cost 11; through the dear edge it would be 16
-
-
-def test_plan_shares_overlapping_patterns():
+    bins = Bins(np.array([10, 5]), "norm", np.ones(2))
+    (a,), (b,) = bins.put(np.array([7, 1]), 1), bins.put(np.array([5, 1]), 1)
+    assert bins.put(np.array([3, 1]), 1) == [a] and bins.put(np.array([5, 1]), 1) == [b]
+    assert bins.put(np.array([2, 1]), 11).tolist() == [2] * 5 + [3] * 5 + [4]
+
+
+def cheapest(n, edges, source, sink):
+    """Amount and cost of the cheapest largest flow over edges (from, to, capacity, cost), by successive shortest paths."""
+    arcs = [[b, c, w] for a, b, c, w in edges for b, c, w in ((b, c, w), (a, 0, -w))]
+    out = [[] for _ in range(n)]
+    for i, (a, b, _, _) in enumerate(edges):
+        out[a].append(2 * i)
+        out[b].append(2 * i + 1)
+    amount = cost = 0
+    while True:
+        far, via = {source: 0}, {}
+        for _ in range(n):
+            for u in list(far):
+                for e in out[u]:
+                    v, c, w = arcs[e]
+                    if c > 0 and far[u] + w < far.get(v, 1 << 60):
+                        far[v], via[v] = far[u] + w, e
+        if sink not in far:
+            return amount, cost
+        path, v = [], sink
+        while v != source:
+            path.append(via[v])
+            v = arcs[via[v] ^ 1][0]
+        push = min(arcs[e][1] for e in path)
+        for e in path:
+            arcs[e][1] -= push
+            arcs[e ^ 1][1] += push
+        amount, cost = amount + push, cost + push * far[sink]
+
+
+def test_plan_is_the_cheapest_largest_flow():
+    rng = random.Random(3)
+    for _ in range(60):
+        names = "abcd"[: rng.randrange(1, 5)]
+        targets = [(s, rng.randrange(0, 60), rng.randrange(0, 4)) for s in names]
+        patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)))): rng.randrange(1, 30) for _ in range(rng.randrange(1, 6))}
+        total = sum(patterns.values())
+        got = plan(patterns, targets, total)
+        used, given = {}, {}
+        for p, s, f in got:
+            assert 0 < f <= 100 * patterns[p] * dict((t, n) for t, _, n in targets)[s] and s in p
+            used[p], given[s] = used.get(p, 0) + f, given.get(s, 0) + f
+        cost = sum(sum(max(0, min(100 * patterns[p], u - 100 * patterns[p] * k)) * (k + 1) for k in range(20)) for p, u in used.items())
+        keys = list(patterns)
+        edges = []
+        for k, p in enumerate(keys):
+            edges += [(0, 2 + k, 100 * patterns[p], turn) for turn in range(1, 14)]
+            edges += [(2 + k, 2 + len(keys) + i, 100 * patterns[p] * n, 0) for i, (s, _, n) in enumerate(targets) if s in p]
+        edges += [(2 + len(keys) + i, 1, w * total, 0) for i, (s, w, _) in enumerate(targets)]
+        assert (sum(used.values()), cost) == cheapest(2 + len(keys) + len(targets), edges, 0, 1)
+        assert all(given.get(s, 0) <= w * total for s, w, _ in targets)
+
+
+def test_plan_shares_overlapping_patterns_and_takes_many():
     got = plan({("a",): 100, ("a", "b"): 100}, [("a", 50, 1), ("b", 50, 1)], 200)
     by = {}
     for _, s, f in got:
         by[s] = by.get(s, 0) + f
     assert by == {"a": 10_000, "b": 10_000}
+    rng = random.Random(1)
+    names = [f"s{k}" for k in range(14)]
+    patterns = {}
+    while len(patterns) < 16_000:
+        patterns[tuple(sorted(rng.sample(names, rng.randrange(1, 14))))] = rng.randrange(1, 1000)
+    targets = [(s, 100 / 14, 2) for s in names]
+    began = time.perf_counter()
+    flow = plan(patterns, targets, sum(patterns.values()))
+    assert time.perf_counter() - began < 30 and abs(sum(f for _, _, f in flow) - 100 * sum(patterns.values())) < 100
+
+
+def test_overlapping_sources_repeat_documents_evenly(spark):
+    """Two sources take 1.5 passes each of the same documents: every document comes three times."""
+    docs = [(k, 10, ["a", "b"]) for k in range(200)] + [(1000 + k, 10, ["c"]) for k in range(400)]
+    m = Mixture(spark.createDataFrame(docs, "d INT, n_tokens INT, sources ARRAY<STRING>"), "d", [("a", 50, 2), ("b", 50, 2)])
+    rows = m.selection().collect()
+    uses = {}
+    for r in rows:
+        uses[r["d"]] = uses.get(r["d"], 0) + r["n_copies"]
+    assert m.total == 2000 and set(uses) == set(range(200)) and set(uses.values()) == {1}
+    both = Mixture(spark.createDataFrame(docs[:200], "d INT, n_tokens INT, sources ARRAY<STRING>"), "d", [("a", 150, 2), ("b", 150, 2)]).selection().collect()
+    uses = {}
+    for r in both:
+        uses[r["d"]] = uses.get(r["d"], 0) + r["n_copies"]
+    assert set(uses.values()) == {3} and len(uses) == 200 and max(r["n_copies"] for r in both) == 2
 
 
 DOCS = [(k, 10 + k % 7, "big" if k % 3 else "small") for k in range(600)]

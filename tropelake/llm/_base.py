@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -25,12 +26,16 @@ def tidy(column: Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared checkpoint folder, with the lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in tests on one machine, a
-    temporary folder is set.
+    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, and all tasks run in this process as in
+    tests, a temporary folder is set; on a cluster its lack is an error, as other machines could not read such a folder.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` the files go when the rows are no longer referred to.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -58,7 +63,3 @@ def unit(rows: np.ndarray) -> np.ndarray:
     wide = rows.astype(np.float64)
     wide /= np.abs(wide).max(axis=1, keepdims=True)
     return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
-
-
-def integers(values: np.ndarray, arrow_type: pa.DataType) -> pa.Array:
-    return pa.array(values).cast(arrow_type)

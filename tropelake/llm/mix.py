@@ -2,83 +2,120 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._base import checkpointed
 
+#: Stretches of the seeded order of a pattern's documents, each sorted by itself.
 BUCKETS = 1024
+#: Rows of a plan that are sent to every executor.
+SMALL = 100_000
+
+
+class Flow:
+    """Tokens from patterns to sources, on edges (pattern, source) with a capacity; ``left`` is what a pattern, ``quota`` what a source still has.
+
+    Paths are looked for between sources, of which there are few: a source passes amounts on to another through all
+    patterns that both have, so an augmentation moves tokens of many patterns at once.
+    """
+
+    def __init__(self, pattern: np.ndarray, source: np.ndarray, room: np.ndarray, quota: np.ndarray, n_patterns: int):
+        self.pattern, self.source, self.room, self.quota = pattern, source, room.copy(), quota.copy()
+        self.flow = np.zeros(len(pattern), np.int64)
+        self.left = np.zeros(n_patterns, np.int64)
+        order = np.argsort(source, kind="stable")
+        self.edges = np.split(order, np.searchsorted(source[order], np.arange(1, len(quota))))
+
+    def _sums(self, amount: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.quota), np.int64)
+        np.add.at(out, self.source, amount)
+        return out
 
+    def _movable(self, to: int) -> np.ndarray:
+        """What each edge's source could hand over to source ``to``."""
+        space = np.zeros(len(self.left), np.int64)
+        space[self.pattern[self.edges[to]]] = self.room[self.edges[to]]
+        out = np.minimum(self.flow, space[self.pattern])
+        out[self.edges[to]] = 0
+        return out
 
-def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each edge (from, to, capacity, cost) of the cheapest largest flow, by successive shortest paths (SPFA)."""
-    to, room, cost, out = [], [], [], [[] for _ in range(n)]
-    for a, b, c, w in edges:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to += [b, a]
-        room += [c, 0]
-        cost += [w, -w]
-    while True:
-        far, via, queued = [None] * n, [-1] * n, [False] * n
-        far[source] = 0
-        line = deque([source])
-        while line:
-            u = line.popleft()
-            queued[u] = False
-            for e in out[u]:
-                v = to[e]
-                if room[e] > 0 and (far[v] is None or far[u] + cost[e] < far[v]):
-                    far[v], via[v] = far[u] + cost[e], e
-                    if not queued[v]:
-                        queued[v] = True
-                        line.append(v)
-        if far[sink] is None:
-            return [room[2 * i + 1] for i in range(len(edges))]
-        push, v = None, sink
-        while v != source:
-            e = via[v]
-            push = room[e] if push is None else min(push, room[e])
-            v = to[e ^ 1]
-        v = sink
-        while v != source:
-            e = via[v]
-            room[e] -= push
-            room[e ^ 1] += push
-            v = to[e ^ 1]
+    @staticmethod
+    def _take(amount: int, of: np.ndarray) -> np.ndarray:
+        """The first ``amount`` of the amounts in ``of``."""
+        return np.clip(amount - (np.cumsum(of) - of), 0, of)
+
+    def fill(self) -> None:
+        """Augments until nothing more can reach a source with quota left."""
+        while self._augment():
+            pass
+
+    def _augment(self) -> bool:
+        direct = self._sums(np.minimum(self.left[self.pattern], self.room))
+        after = np.full(len(self.quota), -1)
+        line = np.flatnonzero(self.quota > 0).tolist()
+        after[line] = line
+        movable, at = {}, 0
+        begin = next((s for s in line if direct[s]), -1)
+        while begin < 0 and at < len(line):
+            to = line[at]
+            at += 1
+            hand = self._sums(self._movable(to))
+            for s in np.flatnonzero((hand > 0) & (after < 0)).tolist():
+                after[s], movable[s] = to, int(hand[s])
+                line.append(s)
+                if direct[s]:
+                    begin = s
+                    break
+        if begin < 0:
+            return False
+        path = [begin]
+        while after[path[-1]] != path[-1]:
+            path.append(int(after[path[-1]]))
+        amount = min(int(direct[begin]), int(self.quota[path[-1]]), *[movable[s] for s in path[:-1]])
+        mine = self.edges[begin]
+        got = self._take(amount, np.minimum(self.left[self.pattern[mine]], self.room[mine]))
+        moves = [(mine, got)]
+        for a, b in zip(path, path[1:]):
+            out = self._take(amount, self._movable(b)[self.edges[a]])
+            moves.append((self.edges[a], -out))
+            place = np.zeros(len(self.left), np.int64)
+            place[self.pattern[self.edges[a]]] = out
+            moves.append((self.edges[b], place[self.pattern[self.edges[b]]]))
+        self.left[self.pattern[mine]] -= got
+        for edge, change in moves:
+            self.flow[edge] += change
+            self.room[edge] -= change
+        self.quota[path[-1]] -= amount
+        return True
 
 
 def plan(patterns: dict[tuple[str, ...], int], targets: list[tuple[str, float, int]], total: int) -> list[tuple[tuple[str, ...], str, int]]:
     """Tokens that each membership pattern gives to each of its sources: (pattern, source, hundredths of a token).
 
-    Nodes are patterns and sources.  A pattern's tokens may serve a source once per pass, at a cost that rises by one
-    with every pass (convex, so earlier passes fill first), up to the source's passes; a source takes its weight's
-    share of ``total``.  Amounts are hundredths of tokens, so percent weights stay whole.
+    The cheapest of the largest flows from patterns to sources.  A source takes its weight's share of ``total``, and of
+    a pattern at most its tokens times the source's passes.  The tokens of a pattern cost one more with every
+    repetition, whichever sources it serves, so costs are convex and sources that share documents compete for them.
+    As only the edges into patterns have costs, and equal ones for equal repetitions, the flow is cheapest when
+    repetitions are allowed one by one and the flow is made largest each time: an augmentation never takes back what
+    a pattern has given.  Amounts are hundredths of tokens, so percent weights stay whole.
     """
     names = {s: i for i, (s, _, _) in enumerate(targets)}
+    passes = np.array([p for _, _, p in targets], np.int64)
     keys = sorted(patterns)
-    source, sink, n = 0, 1, 2 + len(names) + len(keys)
-    edges, meaning = [], []
-    for k, p in enumerate(keys):
-        mine = [s for s in p if s in names]
-        most = max([targets[names[s]][2] for s in mine], default=0)
-        edges.append((source, 2 + len(names) + k, 100 * patterns[p] * max(0, most) * max(1, len(mine)), 0))
-        meaning.append(None)
-        for s in mine:
-            for turn in range(1, targets[names[s]][2] + 1):
-                edges.append((2 + len(names) + k, 2 + names[s], 100 * patterns[p], turn))
-                meaning.append((p, s))
-    for s, weight, _ in targets:
-        edges.append((2 + names[s], sink, round(weight * total), 0))
-        meaning.append(None)
-    flow = min_cost_flow(n, edges, source, sink)
-    given: dict = {}
-    for m, f in zip(meaning, flow):
-        if m and f:
-            given[m] = given.get(m, 0) + f
-    return [(p, s, f) for (p, s), f in sorted(given.items())]
+    tokens = np.array([100 * patterns[p] for p in keys], np.int64)
+    edges = [(k, names[s]) for k, p in enumerate(keys) for s in p if s in names]
+    pattern, source = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+    flow = Flow(pattern, source, tokens[pattern] * passes[source], np.array([round(w * total) for _, w, _ in targets], np.int64), len(keys))
+    most = np.zeros(len(keys), np.int64)
+    np.add.at(most, pattern, passes[source])
+    for turn in range(1, int(most.max(initial=0)) + 1):
+        if not (flow.quota > 0).any():
+            break
+        flow.left += np.where(most >= turn, tokens, 0)
+        flow.fill()
+    return [(keys[k], targets[s][0], int(f)) for k, s, f in zip(pattern, source, flow.flow) if f]
 
 
 class Mixture:
@@ -88,12 +125,12 @@ class Mixture:
     ``targets``: list of (source, weight in percent, most passes); bounded by nature and checked to be at most 10 000.  A
     null source is left out, a null weight or number of passes is 0.
 
-    Token sums are aggregated by membership pattern first, of which only at most ``max_patterns`` may occur; the flow
-    is solved on those sums, so the driver holds no documents.  Documents with a null identifier, no tokens or none
+    Token sums are aggregated by membership pattern first, of which at most ``max_patterns`` may occur (else an error); the
+    flow is solved on those sums, so the driver holds no documents.  Documents with a null identifier, no tokens or none
     of the sources take no part.  Repeated rows are documents of their own.  A source without documents gets nothing.
     """
 
-    def __init__(self, documents: DataFrame, ident: str, targets: list[tuple[str, float, int]], seed: int = 42, max_patterns: int = 20_000):
+    def __init__(self, documents: DataFrame, ident: str, targets: list[tuple[str, float, int]], seed: int = 42, max_patterns: int = 500_000):
         targets = [(s, w or 0, max(0, p or 0)) for s, w, p in targets if s is not None]
         if len(targets) > 10_000 or len({s for s, _, _ in targets}) < len(targets):
             raise ValueError("targets must be at most 10 000 different sources")
@@ -108,38 +145,44 @@ class Mixture:
         patterns = {tuple(r.pattern): r.n for r in found}
         self.total = sum(patterns.values())
         self.given = plan(patterns, self.targets, self.total)
-        parts = []
-        for p, s, f in self.given:
-            whole, rest = divmod(f, 100 * patterns[p])
-            parts.append((list(p), s, int(whole), -(-rest // 100)))
-        self.parts = spark.createDataFrame(parts, "pattern ARRAY<STRING>, source STRING, whole INT, rest LONG")
         self.spark, self.patterns = spark, patterns
 
     def shares(self) -> list[tuple[str, int, int, int]]:
         """Of each target in order: source, passes begun, whether its share is reached, tokens that the flow gives it."""
-        got = {s: [f for _, t, f in self.given if t == s] for s, _, _ in self.targets}
-        out = []
-        for s, weight, _ in self.targets:
-            begun = max([-(-f // (100 * self.patterns[p])) for p, t, f in self.given if t == s], default=0)
-            out.append((s, begun, int(sum(got[s]) >= round(weight * self.total)), sum(got[s]) // 100))
-        return out
+        begun, got = {}, {}
+        for p, s, f in self.given:
+            begun[s] = max(begun.get(s, 0), -(-f // (100 * self.patterns[p])))
+            got[s] = got.get(s, 0) + f
+        return [(s, begun.get(s, 0), int(got.get(s, 0) >= round(weight * self.total)), got.get(s, 0) // 100) for s, weight, _ in self.targets]
+
+    def parts(self) -> DataFrame:
+        """``pattern``, ``source``, ``whole`` passes, and the begun pass as stretches ``low`` <= place < ``high`` of the pattern's tokens in seeded order.
+
+        The begun passes of a pattern's sources follow each other round that order, so its documents are repeated evenly.
+        """
+        rows, turn = [], {}
+        for p, s, f in self.given:
+            whole, rest = divmod(f, 100 * self.patterns[p])
+            rest, size, low = -(-rest // 100), self.patterns[p], turn.get(p, 0)
+            turn[p] = (low + rest) % size
+            rows.append((list(p), s, int(whole), low, low + rest, max(0, low + rest - size)))
+        return self.spark.createDataFrame(rows, "pattern ARRAY<STRING>, source STRING, whole INT, low LONG, high LONG, round LONG")
 
     def selection(self) -> DataFrame:
         """``source``, ``ident``, ``n_tokens``, ``n_copies``: documents of the mixture.
 
         Whole passes take every document of the pattern; the begun last pass takes documents in the order of a seeded
-        hash until the rest is reached.  The order is cut by sums over hash buckets, so that only one bucket of each
-        pattern, about a ``BUCKETS``-th of it, is ever sorted.
+        hash until the rest is reached.  A document's place in that order is the sum of tokens before it: of earlier hash
+        buckets, from one aggregation, and inside its own, so no pattern is sorted in one task.
         """
-        place = F.xxhash64(F.lit(self.seed), "id")
-        rows = self.rows.join(self.parts, "pattern").withColumn("place", place).withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 40), F.lit(BUCKETS)).cast("int"))
-        sums = rows.where("rest > 0").groupBy("pattern", "source", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-        before = F.sum("n").over(Window.partitionBy("pattern", "source").orderBy("bucket")) - F.col("n")
-        edge = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest"))).select("pattern", "source", F.col("bucket").alias("edge"), "before")
-        rows = rows.join(edge, ["pattern", "source"], "left")
-        inside = rows.where(F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False)))
-        sofar = F.sum("n_tokens").over(Window.partitionBy("pattern", "source").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1))
-        inside = inside.withColumn("more", (F.col("before") + F.coalesce(sofar, F.lit(0)) < F.col("rest")).cast("int"))
-        others = rows.where(F.coalesce(F.col("bucket") != F.col("edge"), F.lit(True))).withColumn("more", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
-        both = inside.unionByName(others).withColumn("n_copies", F.col("whole") + F.col("more"))
-        return both.where("n_copies > 0").select("source", F.col("id").alias(self.ident), "n_tokens", "n_copies")
+        lot = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{self.seed}")))
+        rows = self.rows.withColumn("lot", lot).withColumn("bucket", F.shiftright(F.conv(F.substring("lot", 1, 3), 16, 10).cast("int"), 2))
+        sums = rows.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
+        sums = sums.select("pattern", "bucket", (F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("earlier"))
+        sofar = F.sum("n_tokens").over(Window.partitionBy("pattern", "bucket").orderBy("lot", "id").rowsBetween(Window.unboundedPreceding, -1))
+        placed = rows.withColumn("sofar", F.coalesce(sofar, F.lit(0))).join(sums, ["pattern", "bucket"]).withColumn("place", F.col("earlier") + F.col("sofar"))
+        parts = self.parts()
+        joined = placed.join(F.broadcast(parts) if len(self.given) <= SMALL else parts, "pattern")
+        place = F.col("place")
+        more = ((place >= F.col("low")) & (place < F.col("high"))) | (place < F.col("round"))
+        return joined.withColumn("n_copies", F.col("whole") + more.cast("int")).where("n_copies > 0").select("source", F.col("id").alias(self.ident), "n_tokens", "n_copies")

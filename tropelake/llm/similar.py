@@ -25,6 +25,8 @@ LEAF, CHUNK = 128, 4096
 SKETCH = 24
 #: Share of pairs that must pass the projected test before all pairs of a block are compared by one matrix product.
 DENSE = 0.1
+#: Least number of sampled rows for each cell.
+CELL_SAMPLE = 64
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -202,7 +204,7 @@ def _sample(dim: int, project: np.ndarray):
         for batch in batches:
             rows = vectors_of(batch.column("emb"), dim)[1]
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in unit(rows) @ project], pa.binary())], names=["p"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in (unit(rows) @ project).astype(np.float32)], pa.binary())], names=["p"])
 
     return run
 
@@ -287,8 +289,8 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
 
     1. Records with the same vector become one class, named by its smallest identifier (a partial aggregation, so a
        third of all rows may be copies).  Repeated rows of an identifier fall together there.
-    2. ``m`` Gaussian projections of a sample of about ``sample_rows`` rows give the upper part of a kd-tree, with a
-       cell for about ``cell_rows`` classes.  Every class goes to its own cell and visits those where a neighbour at
+    2. ``m`` Gaussian projections of a sample of about ``sample_rows`` rows, and of at least 64 for each cell, give the
+       upper part of a kd-tree, with a cell for about ``cell_rows`` classes.  Every class goes to its own cell and visits those where a neighbour at
        ``min_similarity`` lies with a probability of at least ``route_least``; of two cells only one's rows visit the other.
     3. In a cell the search runs leaf by leaf in order of projected distance until the chi-square test of certainty
        ``certainty`` holds for the k-th neighbour so far.
@@ -302,12 +304,13 @@ def most_similar(df: DataFrame, ident: str, emb: str, dim: int, k: int = 5, min_
     project, sketch, bound = projection(dim, m, seed), projection(dim, SKETCH, seed + 1), 2 - 2 * min_similarity
     factor, sketch_factor = chi_square_quantile(certainty, m), chi_square_quantile(0.999, SKETCH)
     rows = _rows(df, ident, emb)
-    cells = _fit(df, rows, dim, project, cell_rows, sample_rows, seed)
+    members = _members(rows, dim)
+    cells = _fit(members, rows, project, dim, cell_rows, sample_rows, seed)
     keyed = rows.mapInArrow(_keyed(dim), "id BIGINT, key BIGINT, vec BINARY")
     classes = keyed.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("r")).select("r.id", "r.vec")
     routed = classes.mapInArrow(_route(dim, project, cells, math.sqrt(bound), route_least), "cell INT, own BOOLEAN, id BIGINT, vec BINARY")
     near = _by_cell(routed, cells).mapInArrow(_search_cell(dim, k, project, sketch, factor, sketch_factor, bound), "id BIGINT, other BIGINT, similarity DOUBLE")
-    return _of_members(near, rows, dim, ident, k)
+    return _of_members(near, members, ident, k)
 
 
 def most_similar_to(df: DataFrame, ident: str, emb: str, dim: int, asked: Callable[[Column], Column], k: int = 5, m: int = 12, certainty: float = 0.95, route_least: float = 0.01, cell_rows: int = 12_500, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
@@ -321,7 +324,8 @@ def most_similar_to(df: DataFrame, ident: str, emb: str, dim: int, asked: Callab
     project, sketch = projection(dim, m, seed), projection(dim, SKETCH, seed + 1)
     factor, sketch_factor = chi_square_quantile(certainty, m), chi_square_quantile(0.999, SKETCH)
     rows = _rows(df, ident, emb)
-    cells = _fit(df, rows, dim, project, cell_rows, sample_rows, seed)
+    members = _members(rows, dim)
+    cells = _fit(members, rows, project, dim, cell_rows, sample_rows, seed)
     keyed = rows.mapInArrow(_keyed(dim), "id BIGINT, key BIGINT, vec BINARY")
     classes = keyed.groupBy("key").agg(F.min(F.struct("id", "vec")).alias("r"), F.max(asked(F.col("id"))).alias("asks")).select("r.id", "r.vec", "asks")
     homes = checkpointed(classes.mapInArrow(_home(dim, project, cells), "cell INT, id BIGINT, vec BINARY, asks BOOLEAN"))
@@ -334,20 +338,31 @@ def most_similar_to(df: DataFrame, ident: str, emb: str, dim: int, asked: Callab
     both = homes.select("cell", F.lit(True).alias("own"), "id", "vec", F.lit(False).alias("asks"), F.lit(4.0).alias("bound"))
     both = both.unionByName(guests.select("cell", F.lit(False).alias("own"), "id", "vec", F.lit(True).alias("asks"), "bound"))
     second = _by_cell(both, cells).mapInArrow(visit(True), lists)
-    return _of_members(first.unionByName(second), rows, dim, ident, k).where(asked(F.col(ident)))
+    return _of_members(first.unionByName(second), members, ident, k).where(asked(F.col(ident)))
 
 
 def _rows(df: DataFrame, ident: str, emb: str) -> DataFrame:
     return df.where(F.col(f"`{ident}`").isNotNull()).select(F.col(f"`{ident}`").alias("id"), F.col(f"`{emb}`").alias("emb"))
 
 
-def _fit(df: DataFrame, rows: DataFrame, dim: int, project: np.ndarray, cell_rows: int, sample_rows: int, seed: int) -> Cells:
-    """Cells from a sample of about ``sample_rows`` rows; how many there are follows from the number of all."""
+def _members(rows: DataFrame, dim: int) -> DataFrame:
+    """``id`` and ``key`` of all usable records, once each."""
+    return checkpointed(rows.mapInArrow(_keys_only(dim), "id BIGINT, key BIGINT").distinct())
+
+
+def _fit(members: DataFrame, rows: DataFrame, project: np.ndarray, dim: int, cell_rows: int, sample_rows: int, seed: int) -> Cells:
+    """Cells from a sample; how many there are follows from the number of all.
+
+    The sample has about ``sample_rows`` rows, but at least ``CELL_SAMPLE`` for each cell, so cells keep their size however
+    many there are; the driver holds 48 bytes of each.
+    """
     if project.shape[1] % 2:
         raise ValueError("m must be even")
-    total = df.count()
-    drawn = rows.select("emb").sample(min(1.0, sample_rows / max(1, total)), seed).mapInArrow(_sample(dim, project), "p BINARY").toPandas()["p"]
-    return Cells(np.frombuffer(b"".join(drawn), float).reshape(-1, project.shape[1]), max(0, math.ceil(math.log2(max(1, total / cell_rows)))))
+    total = members.count()
+    depth = max(0, math.ceil(math.log2(max(1, total / cell_rows))))
+    wanted = max(sample_rows, CELL_SAMPLE << depth)
+    drawn = rows.select("emb").sample(min(1.0, wanted / max(1, total)), seed).mapInArrow(_sample(dim, project), "p BINARY").toPandas()["p"]
+    return Cells(np.frombuffer(b"".join(drawn), np.float32).reshape(-1, project.shape[1]).astype(float), depth)
 
 
 def _by_cell(routed: DataFrame, cells: Cells) -> DataFrame:
@@ -355,9 +370,8 @@ def _by_cell(routed: DataFrame, cells: Cells) -> DataFrame:
     return routed.repartitionById(1 << cells.depth, F.col("cell")).sortWithinPartitions("cell", "id")
 
 
-def _of_members(near: DataFrame, rows: DataFrame, dim: int, ident: str, k: int) -> DataFrame:
+def _of_members(near: DataFrame, members: DataFrame, ident: str, k: int) -> DataFrame:
     """Lists of classes as lists of their members: own copies first by similarity 1, then the first members of near classes."""
-    members = rows.mapInArrow(_keys_only(dim), "id BIGINT, key BIGINT").distinct()
     named = members.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
     copies = members.join(named.where("n > 1"), "key").select("cls", "id", "n")
     by_class = Window.partitionBy("cls").orderBy("id")

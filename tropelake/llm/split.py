@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,28 +19,22 @@ class Boundaries:
     """All boundaries of a text, found once; a boundary lies after its run of whitespace."""
 
     def __init__(self, text: str):
-        self.text = text
         self.runs = []
         for pattern in STRENGTHS:
             spans = [m.span() for m in pattern.finditer(text)]
             self.runs.append(([a for a, _ in spans], [b for _, b in spans]))
         self.words = [m.start() for m in WORD.finditer(text)]
 
-    def last(self, low: int, high: int, base: int) -> int:
-        """The last boundary over ``low`` and up to ``high`` of the strongest kind that has one; a run over the edge counts up to it.  Its mark must stand at ``base`` or later.  Else ``high``."""
+    def snap(self, target: int, low: int, high: int, base: int = 0) -> int:
+        """The boundary over ``low`` and up to ``high`` nearest to ``target``, of the strongest kind that has one.  Else ``target``.
+
+        A run of whitespace over the edge counts up to it; its mark must stand at ``base`` or later.
+        """
         for kind, (starts, ends) in enumerate(self.runs):
-            i = bisect_right(starts, high - 1) - 1
-            if i >= 0 and starts[i] >= base + (kind < 2) and min(ends[i], high) > low:
-                return min(ends[i], high)
-        return high
-
-    def nearest(self, low: int, high: int, target: int) -> int:
-        """The boundary over ``low`` and up to ``high`` nearest to ``target``, of the strongest kind that has one.  Else ``target``."""
-        for _, ends in self.runs:
-            i, j = bisect_right(ends, low), bisect_right(ends, high)
+            i, j = max(bisect_right(ends, low), bisect_left(starts, base + (kind < 2))), bisect_left(starts, high)
             if i < j:
-                k = min(max(bisect_right(ends, target), i), j - 1)
-                return min((ends[x] for x in (k - 1, k) if i <= x < j), key=lambda e: (abs(e - target), e))
+                k = min(bisect_left(ends, target, i, j), j - 1)
+                return min((min(ends[x], high) for x in (k - 1, k) if x >= i), key=lambda e: (abs(e - target), e))
         return target
 
     def resume(self, end: int, overlap: int) -> int:
@@ -50,50 +44,51 @@ class Boundaries:
 
 
 def full_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Every target is the limit itself, and the text's strongest boundary before it is taken."""
-    at = Boundaries(text)
-    start, out = 0, []
-    while len(text) - start > limit:
-        end = at.last(start + overlap, start + limit, start)
-        out.append((start, end))
-        start = at.resume(end, overlap)
-    return [*out, (start, len(text))]
+    """Targets at the limit of each piece, snapped to the strongest boundary in it; a piece more as long as the last is over the limit."""
+    at, size = Boundaries(text), len(text)
+    pieces = [(0, size)]
+    while size - pieces[-1][0] > limit:
+        start = pieces[-1][0]
+        end = at.snap(start + limit, start + overlap, start + limit, start)
+        pieces[-1:] = [(start, end), (at.resume(end, overlap), size)]
+    return pieces
 
 
 def balanced_pieces(text: str, limit: int, overlap: int, slack: float = 0.2) -> list[tuple[int, int]]:
-    """The fewest pieces, targets at equal lengths, each snapped to the strongest boundary within ``slack`` of a piece's length; a piece more whenever one gets over the limit."""
+    """The fewest pieces, targets at equal lengths, each snapped to the strongest boundary within ``slack`` of a piece's length; a piece more whenever one gets over the limit.
+
+    Where twice as many pieces don't do, as with a word longer than a piece, boundaries have to be nearer to the targets;
+    with none near enough the targets themselves are taken, which always fit.
+    """
     size = len(text)
     if size <= limit:
         return [(0, size)]
-    at = Boundaries(text)
-    count = -(-(size - overlap) // (limit - overlap))
-    while True:
-        step = (size - overlap) / count
-        near = max(1, int(step * slack))
-        ends = []
-        for k in range(1, count):
-            target = min(overlap + round(step * k), size - 1)
-            low = max(target - near, (ends[-1] if ends else 0) + overlap // 2, overlap)
-            ends.append(at.nearest(low, min(target + near, size - 1), max(target, low + 1)))
-        starts = [0, *(at.resume(e, overlap) for e in ends)]
-        pieces = list(zip(starts, [*ends, size]))
-        if all(0 < b - a <= limit for a, b in pieces) and all(a < c for (a, _), (c, _) in zip(pieces, pieces[1:])):
-            return pieces
-        count += 1
-        if count * max(1, overlap) > 2 * size:
-            return full_pieces(text, limit, overlap)
-
-
-def split_texts(df: DataFrame, ident: str, text: str, limit: int = 5000, overlap: int = 250, placement: str = "balanced", oversized_only: bool = True) -> DataFrame:
-    """Pieces of at most ``limit`` characters with about ``overlap`` characters in common: ``ident``, ``piece_no``, ``start_char``, ``end_char``, ``piece``.
+    at, fewest = Boundaries(text), -(-(size - overlap) // (limit - overlap))
+    for share in (slack, slack / 2, slack / 4, 0):
+        for count in range(fewest, 2 * fewest + 1):
+            step = (size - overlap) / count
+            near, ends = int(step * share), []
+            for k in range(1, count):
+                target = overlap + round(step * k)
+                low = max(target - near - 1, ends[-1] + overlap if ends else overlap)
+                ends.append(at.snap(target, low, min(target + near, size - 1)) if near else target)
+            starts = [0, *(at.resume(e, overlap) if near else e - overlap for e in ends)]
+            pieces = list(zip(starts, [*ends, size]))
+            if all(0 < b - a <= limit for a, b in pieces) and all(a < c for a, c in zip(starts, starts[1:])):
+                return pieces
+    raise AssertionError("equal pieces fit")
+
+
+def split_texts(df: DataFrame, ident: str, text: str, limit: int = 5000, overlap: int = 250, placement: str = "balanced", oversized_only: bool = True, with_text: bool = True) -> DataFrame:
+    """Pieces of at most ``limit`` characters with about ``overlap`` characters in common: ``ident``, ``piece_no``, ``start_char``, ``end_char``, and ``piece`` unless not ``with_text``.
 
     ``placement`` sets the targets that are snapped to boundaries: "balanced" cuts into the fewest pieces of about
     equal length, "full" fills each piece as far as a boundary allows.  Characters are code points, offsets count
     from 0 and ends are exclusive; pieces together cover the whole text.  Texts are processed whole, where they
-    are read, without a shuffle.
+    are read, without a shuffle; each is decoded once.
 
     Null texts have no pieces.  Texts of at most ``limit`` characters give none, or themselves as one piece without
-    ``oversized_only`` (an empty text then none).  A text without any boundary is cut at the limit.  A null
+    ``oversized_only`` (an empty text then none).  A text without any boundary is cut at the targets.  A null
     identifier stays null.  Rows that occur repeatedly give repeated pieces: see ``distinct_pieces``.
     """
     if not 0 <= 2 * overlap < limit:
@@ -104,20 +99,22 @@ def split_texts(df: DataFrame, ident: str, text: str, limit: int = 5000, overlap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, number, start, end, piece, held = [], [], [], [], [], 0
-            names = ["id", "piece_no", "start_char", "end_char", "piece"]
 
             def out() -> pa.RecordBatch:
-                ints = [pa.array(x, pa.int32()) for x in (number, start, end)]
-                return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which, pa.int64())), *ints, pa.array(piece, pa.string())], names=names)
+                columns = [batch.column("id").take(pa.array(which, pa.int64())), *[pa.array(x, pa.int32()) for x in (number, start, end)]]
+                columns += [pa.array(piece, pa.string())] * with_text
+                return pa.RecordBatch.from_arrays(columns, names=["id", "piece_no", "start_char", "end_char", "piece"][: len(columns)])
 
             for i, value in enumerate(batch.column("text")):
-                for k, (a, b) in enumerate(cut(value.as_py(), limit, overlap)):
+                whole = value.as_py()
+                for k, (a, b) in enumerate(cut(whole, limit, overlap)):
                     which.append(i)
                     number.append(k + 1)
                     start.append(a)
                     end.append(b)
-                    piece.append(value.as_py()[a:b])
-                    held += b - a
+                    if with_text:
+                        piece.append(whole[a:b])
+                        held += b - a
                 if held > 1 << 22:
                     yield out()
                     which, number, start, end, piece, held = [], [], [], [], [], 0
@@ -125,7 +122,7 @@ def split_texts(df: DataFrame, ident: str, text: str, limit: int = 5000, overlap
 
     size = F.char_length(F.col("text"))
     rows = df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text")).where(size > (limit if oversized_only else 0))
-    pieces = rows.mapInArrow(run, f"id {id_type}, piece_no INT, start_char INT, end_char INT, piece STRING")
+    pieces = rows.mapInArrow(run, f"id {id_type}, piece_no INT, start_char INT, end_char INT" + ", piece STRING" * with_text)
     return pieces.withColumnRenamed("id", ident)
 
 
