@@ -125,7 +125,7 @@ def _seeds(span: int, k: int):
     """Rows of runs, and with each row how to find out whether its seed stands in several records.
 
     Where two records of a group share a seed, that is known (``known``); then one row goes where the seed's other rows
-    go (``at``), to tell them, and the others anywhere.  So a seed has at most one such row for each group of records,
+    go (``at``), to tell them, and the others anywhere (``away`` from it: at = seed xor away, mostly 0).  So a seed has at most one such row for each group of records,
     unless one record repeats it, and one that is in any share of all records makes no hot key.
     """
 
@@ -139,9 +139,12 @@ def _seeds(span: int, k: int):
         known = np.repeat(r[first] != r[last], count)
         head = np.zeros(len(s), bool)
         head[first] = True
-        at = np.where(known & ~head, _mix(s + np.arange(len(s), dtype=np.uint64) * np.uint64(BASE) + r.astype(np.uint64)), s)
-        columns = [doc.take(pa.array(r)).cast(pa.int64()), pa.array(s.view(np.int64)), pa.array(run[order].view(np.int64)), pa.array(start[order].astype(np.int32)), pa.array(size[order].astype(np.int32)), pa.array(at.view(np.int64)), pa.array(known)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "seed", "run", "start", "size", "at", "known"])
+        away = np.zeros(len(s), np.uint64)
+        away[order] = np.where(known & ~head, _mix(np.arange(len(s), dtype=np.uint64) * np.uint64(BASE) + r.astype(np.uint64)), np.uint64(0))
+        told = np.zeros(len(s), bool)
+        told[order] = known
+        columns = [doc.take(pa.array(row)).cast(pa.int64()), pa.array((seed ^ away).view(np.int64)), pa.array(away.view(np.int64)), pa.array(run.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(told)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "at", "away", "run", "start", "size", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -308,10 +311,10 @@ def _shared_runs(docs: DataFrame, span: int, k: int) -> DataFrame:
     """``doc``, ``seed``, ``run``, ``start``, ``size`` of all runs whose seed stands in several records, checkpointed; texts are read and hashed once."""
     if not 16 <= k <= span <= BLOCK // 4:
         raise ValueError(f"seed_length must be from 16 to min_span, and min_span at most {BLOCK // 4}")
-    runs = docs.mapInArrow(_seeds(span, k), "doc BIGINT, seed BIGINT, run BIGINT, start INT, size INT, at BIGINT, known BOOLEAN")
+    runs = docs.mapInArrow(_seeds(span, k), "doc BIGINT, at BIGINT, away BIGINT, run BIGINT, start INT, size INT, known BOOLEAN")
     same = Window.partitionBy("at")
     told = runs.withColumns({"lo": F.min("doc").over(same), "hi": F.max("doc").over(same), "told": F.max("known").over(same)})
-    return checkpointed(told.where("told OR lo < hi").select("doc", "seed", "run", "start", "size"))
+    return checkpointed(told.where("told OR lo < hi").select("doc", F.col("at").bitwiseXOR(F.col("away")).alias("seed"), "run", "start", "size"))
 
 
 def _ends(of: DataFrame, keys: list[str], place: str, *more) -> DataFrame:
