@@ -100,32 +100,111 @@ def test_kmeans_finds_separate_clouds(spark, cloud):
     assert clustering.best_k(cloud, "i", "v", range(2, 5), 1)[0] == 3
 
 
-def naive_labels(x, groups, centers, w):
+def naive_labels(x, groups, centers, w, percent=None, gate=None):
+    near = ((x[:, None] - centers) ** 2).sum(axis=2)
+    ok = near.min(axis=1) <= (np.inf if percent is None else np.percentile(near.min(axis=1), percent))
     label = []
     for i in range(len(x)):
-        cost = ((x[i] - centers) ** 2).sum(axis=1)
+        cost = near[i].copy()
         for j in range(i):
-            if groups[i] is not None and groups[j] is not None and groups[i] != groups[j]:
+            apart = groups[i] is not None and groups[j] is not None and groups[i] != groups[j]
+            if apart and ok[i] and ok[j] and (gate is None or np.linalg.norm(x[i] - x[j]) <= gate):
                 cost[label[j]] += w
         label.append(int(cost.argmin()))
-    return label
+    return label, ok
 
 
-def test_constrained_labels_match_pair_enumeration(cloud):
+@pytest.mark.parametrize("w, percent, gate", [(0.0, None, None), (0.7, None, None), (5.0, None, None), (5.0, 40, None), (2.0, None, 1.5), (2.0, 60, 1.5)])
+def test_constrained_labels_match_pair_enumeration(spark, cloud, w, percent, gate):
     rows = cloud.orderBy("i").collect()
     x, groups = np.array([r["v"] for r in rows]), [r["g"] for r in rows]
     centers = x[[0, 1, 2]]
-    for w in (0.0, 0.7, 5.0):
-        got = [r["label"] for r in clustering.constrained_labels(cloud, "i", "v", "g", centers, w).orderBy("i").collect()]
-        assert got == naive_labels(x, groups, centers, w)
+    limit = None if percent is None else float(np.percentile(((x[:, None] - centers) ** 2).sum(axis=2).min(axis=1), percent))
+    got = [r["label"] for r in clustering.constrained_labels(cloud, "i", "v", "g", centers, w, limit, gate).orderBy("i").collect()]
+    assert got == naive_labels(x, groups, centers, w, percent, gate)[0]
+    if percent:
+        assert constraints.thresholds(clustering.nearest_center(cloud, "i", "v", centers), "d2", percent).first()[0] == pytest.approx(limit)
+
+
+def naive_rounds(x, groups, centers, w, percent, rounds, parallel):
+    """Round by round over all pairs: inertia and violations."""
+    out = []
+    near = lambda c: ((x[:, None] - c) ** 2).sum(axis=2)
+    eligible = lambda c: near(c).min(axis=1) <= np.percentile(near(c).min(axis=1), percent)
+    last, last_ok = near(centers).argmin(axis=1), eligible(centers)
+    for _ in range(rounds):
+        d, ok = near(centers), eligible(centers)
+        if parallel:
+            label = d.argmin(axis=1)
+            for i in range(len(x)):
+                if groups[i] is not None and ok[i]:
+                    cost = d[i].copy()
+                    for j in range(len(x)):
+                        if last_ok[j] and groups[j] is not None and groups[j] != groups[i]:
+                            cost[last[j]] += w
+                    label[i] = cost.argmin()
+            last, last_ok = label, ok
+        else:
+            label = np.array(naive_labels(x, groups, centers, w, percent)[0])
+        pairs = [(i, j) for i in range(len(x)) for j in range(i) if ok[i] and ok[j] and groups[i] and groups[j] and groups[i] != groups[j] and label[i] == label[j]]
+        out.append((d[np.arange(len(x)), label].sum(), len(pairs)))
+        centers = np.array([x[label == k].mean(axis=0) if (label == k).any() else c for k, c in enumerate(centers)])
+    return out
+
+
+@pytest.mark.parametrize("parallel", [False, True])
+def test_pckmeans_matches_its_twin(spark, cloud, monkeypatch, parallel):
+    rows = cloud.orderBy("i").collect()
+    x, groups = np.array([r["v"] for r in rows]), [r["g"] for r in rows]
+    monkeypatch.setattr(clustering, "spread_centers", lambda *a: x[[0, 1, 2]].copy())
+    for percent in (10, 70):
+        labels, _, history = clustering.pckmeans(cloud, "i", "v", "g", 3, w_cl=0.8, start="spread", centroid_percentile=percent, max_iter=3, tol=0, parallel=parallel)
+        got = [(r["inertia"], r["violations"]) for r in history.orderBy("iteration").collect()]
+        want = naive_rounds(x, groups, x[[0, 1, 2]], 0.8, percent, len(got), parallel)
+        assert [v for _, v in got] == [v for _, v in want] and np.allclose([i for i, _ in got], [i for i, _ in want])
+        assert labels.count() == 60
+    with pytest.raises(ValueError):
+        clustering.pckmeans(cloud, "i", "v", "g", 3, start="spread", pairwise_percentile=10, parallel=True)
 
 
-def test_pckmeans_history_and_start(cloud):
-    labels, centers, history = clustering.pckmeans(cloud, "i", "v", "g", 3, w_cl=0.1, max_iter=4)
+def test_pckmeans_history_and_start(spark, cloud):
+    labels, centers, history = clustering.pckmeans(cloud, "i", "v", "g", 3, w_cl=0.1, max_iter=4, pairwise_percentile=30)
     h = history.orderBy("iteration").collect()
     assert labels.count() == 60 and len(centers) == 3 and all(r["total_cost"] == pytest.approx(r["inertia"] + 0.1 * r["violations"]) for r in h)
     spread = clustering.spread_centers(cloud, "i", "v", "g", 5, 1.0)
     assert len({tuple(c) for c in spread}) == 5
+    assert clustering.spread_centers(cloud.limit(2), "i", "v", None, 5, 0.0).shape == (2, 2)
+
+
+def test_violation_statistics(spark):
+    history = df(spark, [(0, 1, 2), (0, 1, 3), (1, 1, 2), (2, 1, 2), (2, 4, 5)], "iteration INT, i INT, j INT")
+    assert {(r["i"], r["j"]): r["frequency"] for r in constraints.violation_frequency(history).collect()} == {(1, 2): 1.0, (1, 3): pytest.approx(1 / 3), (4, 5): pytest.approx(1 / 3)}
+    assert [(r["i"], r["j"]) for r in constraints.most_violated(history, 2).collect()] == [(1, 2), (1, 3)]
+    trend = lambda *v: constraints.violation_trend(df(spark, list(enumerate(v)), "iteration INT, violations LONG")).first()[0]
+    assert [trend(*v) for v in ((5, 4, 4), (1, 2, 2), (5, 1, 3), (1, 5, 3), (5, 4), (2, 2, 2))] == ["consistently decreasing", "consistently increasing", "decreasing", "increasing", "decreasing", "consistently increasing"]
+
+
+def test_percentiles_interpolate(spark):
+    rng = np.random.default_rng(5)
+    data = {"a": rng.integers(0, 9, 50).astype(float), "b": rng.standard_normal(31), "c": np.array([4.0])}
+    table = df(spark, [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), ("d", None)], "g STRING, v DOUBLE")
+    got = {r["g"]: r for r in ranking.percentiles(table, ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == set(data)
+    for g, v in data.items():
+        assert np.allclose([got[g]["low"], got[g]["mid"], got[g]["top"]], np.percentile(v, [10, 50, 100]))
+
+
+def test_sparse_weights_and_word_clusters(spark):
+    docs = df(spark, [("p", ["red", "wall"]), ("q", ["red", "red", "sea"]), ("r", [])], "id STRING, w ARRAY<STRING>")
+    got = {(r["id"], r["word"]): r["weight"] for r in clustering.tfidf(docs, "id", "w").collect()}
+    red, rare = np.log(4 / 3) + 1, np.log(4 / 2) + 1
+    assert got["p", "wall"] == pytest.approx(rare / np.hypot(red, rare)) and got["q", "red"] == pytest.approx(2 * red / np.hypot(2 * red, rare))
+    words = df(spark, [("Big wall",), (" big wall ",), ("high wall",), ("open sea",), ("the open sea",), (None,)], "w STRING")
+    clusters = {}
+    for r in clustering.word_clusters(words, "w", 2).collect():
+        clusters.setdefault(r["label"], set()).add(r["word"])
+    assert sorted(map(sorted, clusters.values())) == [["big wall", "high wall"], ["open sea", "the open sea"]]
+    assert clustering.elbow(df(spark, [([0.0],), ([2.0],), ([4.0],)], "v ARRAY<DOUBLE>"), "v", range(1, 3)).where("k = 1").first()["inertia"] == pytest.approx(8)
 
 
 def test_components_are_removed(spark):
@@ -230,9 +309,46 @@ def test_annotation_resumes_and_gives_up(spark):
     assert items.select(annotate.with_demos(F.col("t"), demos, 0).alias("p")).first()["p"] == "x"
 
 
+def naive_pair(members, limit):
+    """Nested loops over the nearest quarter, then over all; else the two nearest."""
+    from tropelake.functions.text import STOP_WORDS
+
+    words = [{w for w in t.lower().split() if len(w) > 1 and w not in STOP_WORDS} for _, _, t in members]
+    for n in (max(1, len(members) // 4), len(members)):
+        for i in range(n):
+            for j in range(i + 1, n):
+                alike = len(words[i] & words[j]) / max(1, len(words[i] | words[j]))
+                if members[i][1] != members[j][1] and alike < limit:
+                    return members[i][0], members[j][0], True
+    return members[0][0], members[1][0], False
+
+
+def test_first_pairs_match_nested_loops(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for c in range(40):
+        n, wide = rng.randrange(1, 30), rng.random() < 0.5
+        rows += [(c * 100 + i, c, float(i), f"d{rng.randrange(9 if wide else 2)}", " ".join(rng.choice(["wall", "flood", "fire", "sea", "the"]) for _ in range(rng.randrange(0, 4)))) for i in range(n)]
+    rng.shuffle(rows)
+    got = {r["label"]: (r["first"], r["second"], r["diverse"]) for r in intrusion.first_pair(df(spark, rows, "i INT, label INT, d2 DOUBLE, doc STRING, t STRING"), "label", "d2", "i", "doc", "t").collect()}
+    want = {}
+    for c in range(40):
+        members = [(i, d, t) for i, _, _, d, t in sorted(r for r in rows if r[1] == c)]
+        if len(members) > 1:
+            want[c] = naive_pair(members, 0.6)
+    assert got == want
+
+
 def test_intrusion_examples(spark):
     rng = np.random.default_rng(3)
     rows = [(i, i % 6, (np.eye(6)[i % 6] * 9 + rng.standard_normal(6)).tolist(), f"doc{i % 40}", f"word{i} other{i}") for i in range(120)]
     base = metrics.with_distance(df(spark, rows, "i INT, label INT, v ARRAY<DOUBLE>, doc STRING, t STRING"), "label", "v")
-    got = intrusion.examples(base, metrics.centroids(base, "label", "v"), "i", "label", "d2", "doc", "t", {"easy": 5, "medium": 4, "hard": 4}).collect()
-    assert len(got) == 13 and all(r["intruder_index"] % 6 != r["source_cluster"] and all(p % 6 == r["source_cluster"] for p in r["positive_indices"]) and 1 <= r["answer"] <= 3 for r in got)
+    found = intrusion.examples(base, metrics.centroids(base, "label", "v"), "i", "label", "d2", "doc", "t", {"easy": 5, "medium": 4, "hard": 4})
+    got = {r["example_id"]: r for r in found.collect()}
+    assert len(got) == 13 and all(r["intruder_index"] % 6 != r["source_cluster"] and all(p % 6 == r["source_cluster"] for p in r["positive_indices"]) and 1 <= r["answer"] <= 3 for r in got.values())
+    for r in intrusion.shown(found, base, "i", "t").collect():  # the intruder stands where the solution says
+        right = got[r["example_id"]]
+        assert r[str(right["answer"])] == f"word{right['intruder_index']} other{right['intruder_index']}"
+        assert {r["1"], r["2"], r["3"]} == {f"word{i} other{i}" for i in [*right["positive_indices"], right["intruder_index"]]}

@@ -80,15 +80,6 @@ def test_silhouette_takes_no_sample_by_itself(spark):
     assert metrics.silhouette(v, "i", "label", "v").first()[0] == pytest.approx(a.mean(), abs=1e-9)
 
 
-def test_chain_takes_the_best_predecessor_within_the_gap():
-    from tropelake.llm.spans import chain
-
-    x, size = np.array([0, 2450 - 160, 2470]), np.array([1890, 160, 300])  # the first ends 400 before the second, 580 before the third
-    assert chain(x, x, size, 0.5, 399) == [[0], [1, 2]]
-    x, size = np.array([0, 2450, 2630]), np.array([2000, 160, 300])
-    assert sorted(map(tuple, chain(x, x, size, 0.5, 400))) == [(0,), (1, 2)]
-
-
 def test_jaccard_compares_every_dataset(spark, tmp_path):
     from tropelake.plans import text
 

@@ -84,8 +84,7 @@ def intrusion_examples(spark: SparkSession, a) -> None:
     n = a.total // 3
     counts = {"easy": n, "medium": n, "hard": a.total - 2 * n}
     out = intrusion.examples(rows, metrics.centroids(rows, "label", a.vector), a.id, "label", "d2", a.doc, a.text, counts, a.jaccard, a.seed)
-    shown = out.select("example_id", F.shuffle(F.concat("positive_indices", F.array("intruder_index"))).alias("indices"))
-    results.separate_export(shown, out, a.out)
+    results.separate_export(intrusion.shown(out, rows, a.id, a.text), out, a.out)
 
 
 def combine(spark: SparkSession, a) -> None:

@@ -57,6 +57,17 @@ def document_cluster_matrix(df: DataFrame, docs: DataFrame, doc: str, cluster: s
     return docs.select(doc).distinct().join(entries, doc, "left").select(doc, counts.alias("counts"))
 
 
+def document_cluster_rows(df: DataFrame, docs: DataFrame, doc: str, cluster: str) -> DataFrame:
+    """A row for every document with ``clusters``, those it has in order, and their ``counts``; empty for documents without any.
+
+    The matrix over every cluster, in its sparse form: a row is as long as the document has clusters.
+    """
+    entries = cluster_counts(df, doc, cluster).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("c"), "n"))).alias("e"))
+    out = docs.select(doc).distinct().join(entries, doc, "left")
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return out.select(doc, F.coalesce(F.col("e.c"), empty(df.schema[cluster].dataType.simpleString())).alias("clusters"), F.coalesce(F.col("e.n"), empty("bigint")).alias("counts"))
+
+
 def document_cluster_wide(df: DataFrame, docs: DataFrame, doc: str, cluster: str, k: int, prefix: str = "Cluster ") -> DataFrame:
     """The matrix with a column for each cluster, for regressions over a few hundred clusters."""
     matrix = document_cluster_matrix(df, docs, doc, cluster, k)
@@ -94,8 +105,9 @@ def mean_vectors(df: DataFrame, docs: DataFrame, doc: str, vector: str, dim: int
 
 def quartiles(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Exact quartiles with linear interpolation."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*group).agg(q.alias("q")).select(*group, *[F.get("q", F.lit(i)).alias(f"q{25 * (i + 1)}") for i in range(3)])
+    from .ranking import percentiles
+
+    return percentiles(df, group, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def feature_importance(weights: DataFrame, feature: str = "feature", weight: str = "weight") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, word_set
+from ..functions.text import word_set
 from ..functions.vectors import squared_distance
 from .ranking import top_share
 from .sampling import inverse_usage
@@ -33,24 +36,70 @@ def typical(df: DataFrame, label: str, distance: str, ident: str, percent: float
     return top_share(df.join(big, label, "left_semi"), label, [F.col(distance), F.col(ident)], percent)
 
 
-def first_pair(members: DataFrame, label: str, distance: str, ident: str, doc: str, text: str, limit: float = 0.6) -> DataFrame:
-    """For each cluster the first two members, in order of distance, of different documents and with word sets less alike than ``limit``."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(distance, ident))
-    rows = members.withColumn("r", rank).select(label, F.col(ident).alias("i"), F.col(doc).alias("d"), word_set(F.col(text)).alias("w"), "r")
-    other = rows.select(label, *[F.col(c).alias(f"{c}2") for c in ("i", "d", "w", "r")])
-    pairs = rows.join(other, label).where((F.col("r") < F.col("r2")) & (F.col("d") != F.col("d2")))
-    pairs = pairs.where(jaccard(F.col("w"), F.col("w2")) < limit)
-    return pairs.groupBy(label).agg(F.min_by(F.struct(F.col("i").alias("first"), F.col("i2").alias("second")), F.struct("r", "r2")).alias("p")).select(label, "p.first", "p.second")
+def first_pair(members: DataFrame, label: str, distance: str, ident: str, doc: str, text: str, limit: float = 0.6, percent: float = 25) -> DataFrame:
+    """``label``, ``first``, ``second``, ``diverse``: of each cluster with two members or more the first two, in order of distance, of different documents and with word sets less alike than ``limit``.
+
+    The nearest ``percent`` are looked at first, then all members; where no pair fits, the two nearest are taken and
+    ``diverse`` is false.  Members stream by in order and a cluster ends with its first pair: held are only the members
+    without a partner yet, each document and word set once, as a later copy has no partner that the earlier one hasn't.
+    """
+    rows = members.select(F.col(label).alias("c"), F.col(ident).alias("i"), F.col(doc).cast("string").alias("d"), F.array_sort(word_set(F.col(text))).alias("w"), F.col(distance).alias("far"))
+    rows = rows.withColumn("near", F.row_number().over(Window.partitionBy("c").orderBy("far", "i")) <= F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("c")) * percent / 100)))
+    kinds = dict(members.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        held: list = []
+        two: list = []
+        done = True
+
+        def best() -> tuple | None:
+            return next(((h[0], h[3]) for h in held if h[3] is not None), None)
+
+        def close() -> None:
+            pair = best()
+            if not done and len(two) > 1:
+                out.append((now, *(pair or two), pair is not None))
+
+        for batch in batches:
+            for c, i, d, w, near in zip(*[batch.column(n).to_pylist() for n in ("c", "i", "d", "w", "near")]):
+                if c != now:
+                    close()
+                    now, held, two, done = c, [], [], False
+                if done:
+                    continue
+                if not near and best():  # a pair among the nearest
+                    close()
+                    done = True
+                    continue
+                words = frozenset(w or ())
+                if len(two) < 2:
+                    two.append(i)
+                for h in held:
+                    if h[3] is None and h[1] != d and len(h[2] & words) < limit * max(1, len(h[2] | words)):
+                        h[3] = i
+                if held and held[0][3] is not None:
+                    close()
+                    done = True
+                elif all((h[1], h[2]) != (d, words) for h in held):
+                    held.append([i, d, words, None])
+        close()
+        if out:
+            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((batch.schema.field("c").type, batch.schema.field("i").type, batch.schema.field("i").type, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "first", "second", "diverse"])
+
+    ordered = rows.repartition("c").sortWithinPartitions("c", "far", "i").select("c", "i", "d", "w", "near")
+    return ordered.mapInArrow(run, f"c {kinds[label]}, first {kinds[ident]}, second {kinds[ident]}, diverse BOOLEAN").withColumnRenamed("c", label)
 
 
 def examples(df: DataFrame, centers: DataFrame, ident: str, label: str, distance: str, doc: str, text: str, counts: dict[str, int], limit: float = 0.6, seed: int = 42) -> DataFrame:
-    """``example_id``, ``difficulty``, ``source_cluster``, ``positive_indices``, ``intruder_index``, ``answer``: place 1 to 3 of the intruder.
+    """``example_id``, ``difficulty``, ``source_cluster``, ``positive_indices``, ``intruder_index``, ``answer``: place 1 to 3 of the intruder; ``diverse``, whether the positives' documents and words differ.
 
     ``counts`` says how many examples of each difficulty; clusters are used as evenly as possible.  The intruder is a
     typical member, by lot, of a cluster of the difficulty's kind, also by lot.
     """
     close = typical(df, label, distance, ident)
-    pairs = first_pair(close, label, distance, ident, doc, text, limit)
+    pairs = first_pair(df, label, distance, ident, doc, text, limit)
     kinds = far_or_near(cluster_distances(centers.join(pairs.select(label), label, "left_semi"), label), label)
     plan, at = None, 0
     for kind, n in counts.items():
@@ -63,4 +112,13 @@ def examples(df: DataFrame, centers: DataFrame, ident: str, label: str, distance
     intruder = target.join(close.select(F.col(label).alias("other"), F.col(ident).alias("intruder_index")), "other").withColumn("__l", lot("example_id", "intruder_index"))
     intruder = intruder.groupBy("example_id", "difficulty", label).agg(F.min_by("intruder_index", F.struct("__l", "intruder_index")).alias("intruder_index"))
     place = (F.pmod(F.xxhash64("example_id", F.lit(seed)), F.lit(3)) + 1).cast("int")
-    return intruder.join(pairs, label).select(F.col("example_id").cast("int"), "difficulty", F.lit("method 0").alias("method"), F.col(label).alias("source_cluster"), F.array("first", "second").alias("positive_indices"), "intruder_index", place.alias("answer"))
+    return intruder.join(pairs, label).select(F.col("example_id").cast("int"), "difficulty", F.lit("method 0").alias("method"), F.col(label).alias("source_cluster"), F.array("first", "second").alias("positive_indices"), "intruder_index", place.alias("answer"), "diverse")
+
+
+def shown(found: DataFrame, df: DataFrame, ident: str, text: str) -> DataFrame:
+    """What an annotator sees of ``examples``: ``example_id`` and the texts ``1``, ``2`` and ``3``, with the intruder's at ``answer``."""
+    a, b, x, at = F.get("positive_indices", F.lit(0)), F.get("positive_indices", F.lit(1)), F.col("intruder_index"), F.col("answer")
+    order = F.when(at == 1, F.array(x, a, b)).when(at == 2, F.array(a, x, b)).otherwise(F.array(a, b, x))
+    places = found.select("example_id", F.posexplode(order).alias("place", ident))
+    texts = places.join(df.select(ident, F.col(text).alias("__t")), ident, "left")
+    return texts.groupBy("example_id").agg(*[F.max(F.when(F.col("place") == k, F.col("__t"))).alias(str(k + 1)) for k in range(3)])
