@@ -83,9 +83,22 @@ def test_silhouette_takes_no_sample_by_itself(spark):
 def test_jaccard_compares_every_dataset(spark, tmp_path):
     from tropelake.plans import text
 
-    scores = df(spark, [("d", "d_0", "red house", "podcasts"), ("d", "d_1", "red tree", "podcasts"), ("e", "e_0", "blue", "tweets_immigration")], "doc_id STRING, id STRING, sentence STRING, dataset STRING")
-    scores.write.parquet(f"{tmp_path}/llm_met_scores.parquet")
-    assert [tuple(r) for r in text.jaccard_pairs_all(spark, str(tmp_path)).collect()] == [("d_0", "d_1", pytest.approx(1 / 3))]
+    sentences = [("d", "d_0", "red house big wall stone", "podcasts"), ("d", "d_1", "stone red house big wall fire", "podcasts"), ("d", "d_2", "big wall red stone house", "x"), ("d", "d_3", "sea", "x"), ("e", "e_0", "red house big wall stone", "tweets_immigration"), ("e", "e_1", "the", "x")]
+    df(spark, sentences, "doc_id STRING, id STRING, sentence STRING, dataset STRING").write.parquet(f"{tmp_path}/llm_met_scores.parquet")
+    assert [tuple(r) for r in text.jaccard_pairs(spark, str(tmp_path)).collect()] == [("d_0", "d_1", 2, 1, pytest.approx(5 / 6))]
+
+
+def test_similar_sets_lose_no_pair(spark):
+    import random
+
+    from tropelake.operators import intrusion
+
+    rng = random.Random(4)
+    sets = list({(g, tuple(sorted(rng.sample("abcdefgh", rng.randrange(0, 8))))) for g in "xyz" for _ in range(60)})
+    rows = df(spark, [(g, i, list(w)) for i, (g, w) in enumerate(sets)], "g STRING, i INT, w ARRAY<STRING>")
+    for least in (0.5, 0.8, 1.0):
+        want = {(i, j) for i, (g, a) in enumerate(sets) for j, (h, b) in enumerate(sets) if i < j and g == h and a and b and len({*a} & {*b}) >= least * len({*a} | {*b})}
+        assert {(r["id_a"], r["id_b"]) for r in intrusion.similar_sets(rows, "g", "i", "w", least).collect()} == want
 
 
 def test_overlaps_come_from_all_events(spark, tmp_path):
@@ -93,7 +106,7 @@ def test_overlaps_come_from_all_events(spark, tmp_path):
 
     events = df(spark, [("u", t, us) for t, us in (("click", 7), ("click", 13), ("view", 12), ("view", 20))], "user_id STRING, event_type STRING, us LONG")
     events.selectExpr("user_id", "event_type", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    assert [tuple(r) for r in plans.interval_overlap_all(spark, str(tmp_path)).collect()] == [("u", "click", "view")]
+    assert [tuple(r) for r in plans.interval_overlap(spark, str(tmp_path)).collect()] == [("u", "click", "view")]
 
 
 def test_every_shuffled_row_has_a_place(spark):

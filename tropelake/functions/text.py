@@ -16,6 +16,11 @@ SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Slips in group labels.
+REPAIRS = {"u.s country": "u.s. country"}
+#: The forms of dates, slashes as dashes.
+DATE_FORMS = ("yyyy-MM-dd", "yyyyMMdd", "M-d-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
+
 #: Stop words of the word-set similarity.
 STOP_WORDS = (
     "a an and are as at be by for from has he "
@@ -74,6 +79,14 @@ def sanitize_label(label: Column, accepted: list[str]) -> Column:
     return F.when(label.isNull(), F.lit(None)).when(short.isin(accepted), short).otherwise("Other")
 
 
+def clean_group(label: Column, accepted: list[str], repairs: dict[str, str] | None = None, other: str = "other") -> Column:
+    """A label in lower case without outer blanks, with known slips repaired; ``other`` if it isn't accepted then.  Null stays null."""
+    short = F.lower(F.btrim(label))
+    for wrong, right in (repairs or REPAIRS).items():
+        short = F.replace(short, F.lit(wrong), F.lit(right))
+    return F.when(label.isNull(), F.lit(None)).when(short.isin(accepted), short).otherwise(other)
+
+
 def first_contained(text: Column, options: list[str], otherwise: str = "invalid") -> Column:
     """The text if it is an option, else the first option contained in it."""
     out = F.when(text.isin(options), text)
@@ -90,8 +103,8 @@ def after_marker(text: Column, marker: str, drop_quote: bool = False) -> Column:
 
 
 def parse_score(score: Column) -> Column:
-    """The whole part of a number in text; null if it is none."""
-    return F.floor(score.try_cast("double")).try_cast("int")
+    """The whole part of a number in text, without its fraction; null if it is none."""
+    return score.try_cast("double").try_cast("int")
 
 
 def unanimous(scores: Column) -> Column:
@@ -100,9 +113,9 @@ def unanimous(scores: Column) -> Column:
 
 
 def year_of(date: Column) -> Column:
-    """Year of a date in one of the forms of the metadata (an ISO date, with time or slashes); null if it is none."""
-    day = F.translate(F.substring_index(date, "T", 1), "/", "-")
-    return F.year(F.try_to_date(day, "yyyy-MM-dd"))
+    """Year of a date in one of the forms of the metadata: an ISO date, with time or slashes, without marks, month first, or with the month's name; null if it is none."""
+    day = F.btrim(F.translate(F.substring_index(date, "T", 1), "/", "-"))
+    return F.year(F.coalesce(*[F.try_to_date(day, form) for form in DATE_FORMS]))
 
 
 def span_of(text: Column, tag: str) -> tuple[Column, Column, Column]:
@@ -115,6 +128,31 @@ def span_of(text: Column, tag: str) -> tuple[Column, Column, Column]:
     return bare, start, start + F.char_length(bare)
 
 
+def relative_span(text: Column, text_start: Column, start: Column, end: Column, token: Column) -> tuple[Column, Column]:
+    """Start and end of a token in its sentence, from places in the document; raises when the sentence doesn't have the token there."""
+    a, b = start - text_start, end - text_start
+    there = F.substring(text, a + 1, b - a)
+    checked = F.when(there.eqNullSafe(token), a).otherwise(F.raise_error(F.concat(F.lit("span and token differ: "), F.coalesce(there, F.lit("null")), F.lit(" / "), F.coalesce(token, F.lit("null")))).cast("int"))
+    return checked, checked + (b - a)
+
+
+def joined_values(answer: Column, fields: list[str]) -> Column:
+    """An answer's values as one paragraph, in the order of its fields; missing ones leave nothing."""
+    return F.concat_ws(" ", *[answer[f] for f in fields])
+
+
+def wrapped(width: int):
+    """A function from a text to its lines of at most ``width`` characters."""
+
+    @F.pandas_udf(StringType())
+    def wrap(texts: pd.Series) -> pd.Series:
+        import textwrap
+
+        return texts.map(lambda t: None if t is None else textwrap.fill(t, width))
+
+    return wrap
+
+
 def fill(template: str, **values: Column) -> Column:
     """A prompt: ``{name}`` in the template stands for a column; null values leave nothing."""
     pieces = re.split(r"\{(\w+)\}", template)

@@ -28,6 +28,13 @@ TEMPLATES = {
     "entailments": "Source Word: {source_word}\nTarget Word: {target_word}\nSentence: {sentence}",
     "ad_class": "Sentence: {sentence}",
 }
+#: The forms of a candidate in a prompt, by whether verbs are asked for and whether the target is shown.
+CANDIDATES = {
+    (True, True): "Specified Verb: '{source_word}'\n Target Noun: '{target_word}'\n Sentence: '{sentence}'",
+    (True, False): "Specified Verb: '{source_word}'\n Sentence: '{sentence}'",
+    (False, True): "Source Word: '{source_word}'\nTarget Word: '{target_word}\n Sentence: '{sentence}'",
+    (False, False): "Potential Source Word: '{source_word}'\n Sentence: '{sentence}'",
+}
 TASK_DOMAIN = {"metaphor_class": ("classification", "metaphor_class"), "noun_type": ("noun_classification", "noun_classification"), "image_schema": ("image_schema_group", "image_schema_group"), "ad_class": ("classification", "ad_class")}
 
 
@@ -37,6 +44,11 @@ def prompt(task: str, question: str = "", **values: Column) -> Column:
     return F.concat(F.lit(question + "\n"), body) if question else body
 
 
+def candidate_prompt(verbs: bool = True, target: bool = False, **values: Column) -> Column:
+    """A candidate as the prompts show it: a verb or any source word, with or without its target."""
+    return fill(CANDIDATES[verbs, target], **values)
+
+
 def with_demos(text: Column, demos: list[dict], shots: int, seed: int = 42) -> Column:
     """Up to ``shots`` worked examples before the prompt: none for 0, a sample by lot of more than that, all of fewer."""
     if not shots or not demos:
@@ -114,3 +126,24 @@ def drop_failed(results: DataFrame) -> DataFrame:
 def matching(results: DataFrame, field: str, value: str) -> DataFrame:
     """Results whose answer has a value, whatever its case: what a chained prompt goes on with."""
     return results.where(F.lower(F.col(f"annotation.{field}")) == value.lower())
+
+
+def annotate_saved(items: DataFrame, ident: str, text: Column, task: str, provider: Callable, path: str, every: int = 100, **options) -> DataFrame:
+    """``annotate`` in rounds of about ``every`` rows for each worker, each appended to ``path`` when it is done.
+
+    A run that stops loses one round; the next one goes on with what ``path`` doesn't have.  A row goes to a round by the
+    hash of its identifier.
+    """
+    from ..sources.results import _there
+
+    spark = items.sparkSession
+    left = items
+    if _there(spark, path):
+        done = spark.read.parquet(path).select(F.col("id").alias("__done"))
+        left = items.join(done, F.col(ident).cast("string") == F.col("__done"), "left_anti")
+    workers = options.get("workers") or 1
+    rounds = max(1, -(-left.count() // (every * workers)))
+    for turn in range(rounds):
+        part = left.where(F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(rounds)) == turn)
+        annotate(part, ident, text, task, provider, **options).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

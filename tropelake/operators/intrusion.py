@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
+from ..functions.text import jaccard, word_set
 from ..functions.vectors import squared_distance
 from .ranking import top_share
 from .sampling import inverse_usage
@@ -30,6 +30,23 @@ def far_or_near(distances: DataFrame, label: str = "label", percent: float = 25)
     return m.select(label, "other", F.explode(kinds).alias("kind"))
 
 
+def similar_sets(sets: DataFrame, within: str, ident: str, words: str, least: float, more: list[str] | None = None) -> DataFrame:
+    """Pairs of word sets of one ``within`` with a Jaccard similarity of ``least`` or more: ``id_a`` < ``id_b``, ``jaccard`` and the columns ``more`` of both.  Sets are sorted lists, each once in its group; empty ones have no pairs.
+
+    Two such sets of n and m words share at least least * max(n, m) of them, so they share one of the first
+    n - ceil(least * n) + 1 words of each in any common order.  Only sets that do are compared.  Long words come first, as
+    they are rarer.
+    """
+    more = more or []
+    order = F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("l"), w.alias("w"))))
+    head = F.size(words) - F.ceil(least * F.size(words) - 1e-9).cast("int") + 1
+    rows = sets.where(F.size(words) > 0).select(F.col(within).alias("g"), F.col(ident).alias("i"), F.col(words).alias("w"), *more, F.explode(F.slice(order["w"], F.lit(1), head)).alias("p"))
+    other = rows.select("g", "p", F.col("i").alias("i2"), F.col("w").alias("w2"), *[F.col(c).alias(f"{c}_b") for c in more])
+    fits = (F.col("i") < F.col("i2")) & (F.least(F.size("w"), F.size("w2")) >= least * F.greatest(F.size("w"), F.size("w2")) - 1e-9)
+    pairs = rows.withColumnsRenamed({c: f"{c}_a" for c in more}).join(other, ["g", "p"]).where(fits).withColumn("jaccard", jaccard(F.col("w"), F.col("w2"))).where(F.col("jaccard") >= least)
+    return pairs.select(F.col("i").alias("id_a"), F.col("i2").alias("id_b"), "jaccard", *[f"{c}{s}" for c in more for s in ("_a", "_b")]).distinct()
+
+
 def typical(df: DataFrame, label: str, distance: str, ident: str, percent: float = 25) -> DataFrame:
     """The nearest quarter of each cluster with two members or more."""
     big = df.groupBy(label).agg(F.count("*").alias("__n")).where("__n > 1").select(label)

@@ -29,16 +29,17 @@ def binary_report(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return counts.select("*", *_prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def threshold_report(df: DataFrame, score: str, label: str, thresholds: list[float], percent: bool = True) -> DataFrame:
-    """The report at each threshold of ``score``, of which ``label`` is compared with score >= threshold.
+def threshold_report(df: DataFrame, score: str, label: str, thresholds: list[float], percent: bool = True, predicted: bool = False) -> DataFrame:
+    """The report at each threshold of ``score``, of which ``label`` is compared with score >= threshold; ``predicted``: the score predicts and the label is the truth.
 
     All thresholds are counted in one pass without copying rows.  ``percent``: measures times 100, to two places.
     """
+    fp_, fn_ = ("fn", "fp") if predicted else ("fp", "fn")
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     s, y = F.col(score), F.col(label)
     cells = []
     for k, t in enumerate(thresholds):
-        cells += [F.count_if((s < t) & ~y).alias(f"tn{k}"), F.count_if((s < t) & y).alias(f"fp{k}"), F.count_if((s >= t) & ~y).alias(f"fn{k}"), F.count_if((s >= t) & y).alias(f"tp{k}")]
+        cells += [F.count_if((s < t) & ~y).alias(f"tn{k}"), F.count_if((s < t) & y).alias(f"{fp_}{k}"), F.count_if((s >= t) & ~y).alias(f"{fn_}{k}"), F.count_if((s >= t) & y).alias(f"tp{k}")]
     one = rows.agg(*cells)
     each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), *[F.col(f"{c}{k}").alias(c) for c in ("tn", "fp", "fn", "tp")]) for k, t in enumerate(thresholds)])
     out = one.select(F.explode(each).alias("r")).select("r.*")
@@ -56,6 +57,17 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return wins.agg(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def roc_auc_thresholds(df: DataFrame, score: str, human: str, thresholds: list[float]) -> DataFrame:
+    """``threshold`` and ``auc`` of ``score`` against human >= threshold; null where one class is missing.  One pass: scores are counted with the positives of every threshold, and ranked once."""
+    rows = df.where(F.col(score).isNotNull() & F.col(human).isNotNull())
+    counts = rows.groupBy(score).agg(F.count("*").alias("n"), *[F.count_if(F.col(human) >= t).alias(f"p{k}") for k, t in enumerate(thresholds)])
+    rank = F.col("below") + (F.col("n") + 1) / 2
+    ranked = running_total(counts, score, "n", "below")
+    one = ranked.agg(F.sum("n").alias("n"), *[x for k in range(len(thresholds)) for x in (F.sum(f"p{k}").alias(f"p{k}"), F.sum(F.col(f"p{k}") * rank).alias(f"r{k}"))])
+    cell = lambda k, t: F.struct(F.lit(float(t)).alias("threshold"), F.try_divide(F.col(f"r{k}") - F.col(f"p{k}") * (F.col(f"p{k}") + 1) / 2, F.col(f"p{k}") * (F.col("n") - F.col(f"p{k}"))).alias("auc"))
+    return one.select(F.explode(F.array(*[cell(k, t) for k, t in enumerate(thresholds)])).alias("r")).select("r.*")
+
+
 def outcome(truth: Column, prediction: Column) -> Column:
     """tp, fp, fn or tn of a row."""
     return F.when(truth & prediction, "tp").when(prediction, "fp").when(truth, "fn").otherwise("tn")
@@ -78,6 +90,13 @@ def class_report(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     return per.drop("tp").unionByName(totals.select(F.explode("a").alias("r")).select("r.*"))
 
 
+def overall_scores(df: DataFrame, truth: str, prediction: str) -> DataFrame:
+    """One row: accuracy, macro_f1, weighted_f1, micro_f1, precision and recall (both macro).  With one label a row, micro-F1 is the accuracy."""
+    rows = class_report(df, truth, prediction)
+    of = lambda name, column: F.max(F.when(F.col("class") == name, F.col(column)))
+    return rows.agg(of("accuracy", "f1").alias("accuracy"), of("macro avg", "f1").alias("macro_f1"), of("weighted avg", "f1").alias("weighted_f1"), of("accuracy", "f1").alias("micro_f1"), of("macro avg", "precision").alias("precision"), of("macro avg", "recall").alias("recall"))
+
+
 def percent_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.dropna(subset=[a, b]).agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
 
@@ -131,6 +150,13 @@ def rubric(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df
 
 
+def rubric_means(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """One row: the mean of every composite score, and of every yes-or-no question the share of all rows that say TRUE."""
+    asked = [c for c in df.columns if c.endswith("?")]
+    said = [F.avg(F.coalesce((F.upper(F.btrim(c)) == "TRUE").cast("double"), F.lit(0.0))).alias(c) for c in asked]
+    return rubric(df, groups).agg(*[F.avg(g).alias(g) for g in groups], *said)
+
+
 # --- clusters
 
 

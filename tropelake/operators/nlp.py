@@ -211,3 +211,34 @@ def token_span(tokens_: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame
 
     met = overlapping(spans, tokens_, on, ("span_start", "span_end"), ("start_char", "end_char"))
     return met.groupBy(*on, "span_start", "span_end").agg(F.min("tok_idx").alias("first_tok"), F.max("tok_idx").alias("last_tok"))
+
+
+def path_scores(pairs: DataFrame, ident: str, text: str, provider: Callable) -> DataFrame:
+    """``id`` and ``score`` of each candidate path from a scoring provider."""
+    rows = pairs.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
+    return rows.mapInPandas(provider, "id STRING, score DOUBLE")
+
+
+def retokenized(sents: DataFrame, ident: str, text: str, parser: Callable = stub_parser) -> DataFrame:
+    """The tokens of sentences parsed by themselves; of a text that is more than one sentence, the first.  Without one there are no rows."""
+    first = parse(sents, ident, text, parser).select("doc_id", F.get("sentences", F.lit(0)).alias("s")).where("s IS NOT NULL")
+    return first.select("doc_id", F.explode("s.tokens").alias("t")).select("doc_id", "t.*")
+
+
+def pair_errors(sents: DataFrame) -> DataFrame:
+    """Counts of token pairs of sentences without a path between them, by kind of error, and of all pairs (``pairs``).
+
+    A sentence's tokens and heads make a forest; pairs in different trees have no path.  Trees are found in the row, so
+    pairs are counted from tree sizes and never listed.
+    """
+    t = F.col("t")
+    up = lambda r: F.transform(r, lambda x: F.get(r, x))
+    root = F.transform(t, lambda x: F.when((x["head"] < 0) | (x["head"] >= F.size(t)), x["tok_idx"]).otherwise(x["head"]))
+    jumps = sents.withColumn("r", root)
+    for _ in range(8):  # heads of heads: up to 2^8 steps to the root
+        jumps = jumps.withColumn("r", up(F.col("r")))
+    sizes = F.transform(F.array_distinct("r"), lambda a: F.size(F.filter("r", lambda b: b == a)).cast("long"))
+    pairs = lambda n: n * (n - 1) / 2
+    per = jumps.select(F.size("t").cast("long").alias("n"), F.aggregate(sizes, F.lit(0.0), lambda s, n: s + pairs(n)).alias("joined"), F.exists(t, lambda x: x["head"] == x["tok_idx"]).alias("loop"))
+    one = per.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("joined")), F.lit(0)).cast("long").alias("no path between parts"), F.coalesce(F.count_if("loop"), F.lit(0)).alias("sentences with a loop"))
+    return one.unpivot([], one.columns, "error", "n")

@@ -13,6 +13,10 @@ from .metrics import class_report
 from .sampling import bucket, lot
 
 
+#: Rows of a table for which a fit uses one task.
+ROWS_EACH = 20_000
+
+
 @dataclass
 class Fit:
     model: LogisticRegressionModel
@@ -48,6 +52,7 @@ def regression(df: DataFrame, ident: str, label: str, include_targets: bool = Fa
     indexed = indexer.transform(rows)
     features = indexed.withColumn("x", F.col(vector[0])) if vector else VectorAssembler(inputCols=names, outputCol="x").transform(indexed)
     table = features.select(ident, "x", "y", (bucket(ident, 100, seed) < test_percent).alias("test")).persist()
+    table = table.coalesce(max(1, table.count() // ROWS_EACH)).persist()  # a fit is many short passes
     train, test = table.where("NOT test"), table.where("test")
 
     def fit(part: DataFrame) -> LogisticRegressionModel:
@@ -74,7 +79,32 @@ def regression(df: DataFrame, ident: str, label: str, include_targets: bool = Fa
     return Fit(model, indexer.labels, names, metrics, report, spark.createDataFrame(weights, "class STRING, feature STRING, weight DOUBLE"))
 
 
-def run_labels(df: DataFrame, ident: str, labels: list[str], **options) -> DataFrame:
-    """Metrics of a regression for each label: ``label``, ``metric``, ``value``."""
-    rows = [(x, k, v) for x in labels for k, v in regression(df.drop(*[y for y in labels if y != x]), ident, x, **options).metrics.items()]
+def run_labels(df: DataFrame, ident: str, labels: list[str], out: str = "", k: int = 0, w_cl: float | None = None, **options) -> DataFrame:
+    """Metrics of a regression for each label: ``label``, ``metric``, ``value``.  With ``out`` the reports and weights are kept there, by label, ``k`` and ``w_cl``."""
+    from ..sources.results import store_report
+
+    rows = []
+    for x in labels:
+        fit = regression(df.drop(*[y for y in labels if y != x]), ident, x, **options)
+        rows += [(x, m, v) for m, v in fit.metrics.items()]
+        if out:
+            store_report(fit.report, f"{out}/reports", x, k, w_cl)
+            store_report(fit.weights, f"{out}/weights", x, k, w_cl)
     return df.sparkSession.createDataFrame(rows, "label STRING, metric STRING, value DOUBLE")
+
+
+def run_clusters(assignments: DataFrame, labelled: DataFrame, doc: str, labels: list[str], others: DataFrame | None = None, targets: str | None = None, out: str = "", **options) -> DataFrame:
+    """From cluster labels of metaphors (``doc``, ``label``) to regressions of the documents' labels: counts over every cluster that occurs, ``others`` (clusters of the texts) beside them, and counts of the column ``targets`` if asked for."""
+    from .aggregates import document_cluster_vectors
+
+    parts = [("Met Cluster " if others is not None else "Cluster ", assignments, "label")]
+    parts += [("Text Cluster ", others, "label")] if others is not None else []
+    parts += [("Target ", assignments.where(F.col(targets) != ""), targets)] if targets else []
+    rows, names, columns = labelled.select(doc, *labels), [], []
+    for n, (prefix, table, column) in enumerate(parts):
+        counts, values = document_cluster_vectors(table, labelled, doc, column, f"__x{n}")
+        rows = rows.join(counts, doc)
+        names += [f"{prefix}{v}" for v in values]
+        columns.append(f"__x{n}")
+    rows = VectorAssembler(inputCols=columns, outputCol="x").transform(rows).drop(*columns) if len(columns) > 1 else rows.withColumnRenamed(columns[0], "x")
+    return run_labels(rows, doc, labels, out, len(names), vector=("x", names), **options)

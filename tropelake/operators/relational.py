@@ -139,3 +139,69 @@ def unzip(df: DataFrame, *columns: str) -> DataFrame:
 
 def long_form(df: DataFrame, keys: list[str], names: list[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot(keys, names, name, value)
+
+
+def require_equal(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Raises when two columns of a pair differ in a row, while the rows are read; two nulls are equal."""
+    for a, b in pairs:
+        bad = F.raise_error(F.concat(F.lit(f"{a} and {b} differ: "), F.coalesce(F.col(a).cast("string"), F.lit("null")), F.lit(" / "), F.coalesce(F.col(b).cast("string"), F.lit("null"))))
+        df = df.withColumn(a, F.when(F.col(a).eqNullSafe(F.col(b)), F.col(a)).otherwise(bad.cast(df.schema[a].dataType)))
+    return df
+
+
+def suffix_join(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Inner join of two sheets with the same columns: all but the keys come twice, with a suffix.  Null keys meet each other."""
+    left = a.select(*keys, *[F.col(c).alias(c + suffixes[0]) for c in a.columns if c not in keys])
+    right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(c + suffixes[1]) for c in b.columns if c not in keys])
+    return left.join(right, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
+
+
+def relabel(df: DataFrame, column: str, names: dict, otherwise: Column | None = None) -> DataFrame:
+    """Values by a small map of names; what isn't in it stays, or becomes ``otherwise``."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = F.try_element_at(table, F.col(column)) if names else F.lit(None)
+    return df.withColumn(column, F.coalesce(found, otherwise if otherwise is not None else F.col(column)))
+
+
+def lookup_by_kind(df: DataFrame, kind: str, ident: str, tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """A lookup whose table depends on the row's kind: one join on kind and identifier.  Rows of other kinds get nulls."""
+    every = None
+    for name, t in tables.items():
+        part = t.select(F.lit(name).alias(kind), ident, *columns)
+        every = part if every is None else every.unionByName(part)
+    return df.join(every, [kind, ident], "left")
+
+
+def agreeing_pairs(pairs: DataFrame, annotations: DataFrame, doc: str, same: dict[str, str]) -> DataFrame:
+    """Pairs whose words are those annotated for their document, whatever their case and outer blanks: ``same`` maps columns of pairs to columns of annotations (one row per document)."""
+    clean = lambda c: F.lower(F.btrim(F.col(c)))
+    asked = annotations.select(doc, *[clean(b).alias(f"__{a}") for a, b in same.items()])
+    out = pairs.join(asked, doc)
+    for a in same:
+        out = out.where(clean(a) == F.col(f"__{a}"))
+    return out.drop(*[f"__{a}" for a in same])
+
+
+def judged_only(df: DataFrame, score: str, unknown: int = -1, binary: bool = False) -> DataFrame:
+    """Rows with a score other than ``unknown``; ``binary``: 1 for scores over 1, else 0."""
+    rows = df.where(F.col(score).isNotNull() & (F.col(score) != unknown))
+    return rows.withColumn(score, (F.col(score) > 1).cast("int")) if binary else rows
+
+
+def first_rows(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The first ``n`` rows in a stated order (a top-k), or all without ``n``."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def numeric_order(df: DataFrame, column: str, *more: str) -> DataFrame:
+    """Sorted by the number that a text stands for; texts that are none come last, in their own order."""
+    number = F.col(column).try_cast("double")
+    return df.orderBy(number.isNull(), number, column, *more)
+
+
+def attach_by_position(a: DataFrame, a_order: str, b: DataFrame, b_order: str, columns: list[str]) -> DataFrame:
+    """Columns of the row at the same place: both tables are numbered in order of a column without ties."""
+    from .features import dense_index
+
+    other = dense_index(b.select(F.col(b_order).alias("__o"), *columns), "__o").drop("__o")
+    return dense_index(a, a_order).join(other, "idx", "left").drop("idx")

@@ -31,6 +31,29 @@ def draw_stratified(df: DataFrame, stratum: str, ident: str, n: int, strata: int
     return pool.orderBy("__o", lot(ident, seed), ident).limit(n).drop("__o")
 
 
+def draw_quota(df: DataFrame, ident: str, score: str, n: int, threshold: float, done: DataFrame | None = None, share: float = 0.9, seed: int = 42) -> DataFrame:
+    """``n`` rows, ``share`` of them with at least ``threshold``: each side is drawn evenly over scores rounded to one place, and rows over the threshold fill what is missing.
+
+    A side of m rows with s different rounded scores gives up to m // s of each.  Rows of ``done`` are not drawn again.
+    The order of the result is by lot.
+    """
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("__s", F.round(score, 1))
+    if done is not None:
+        rows = rows.join(done.select(ident), ident, "left_anti")
+    high = int(share * n)
+    sides = [(rows.where(F.col(score) >= threshold), high), (rows.where(F.col(score) < threshold), n - high)]
+    chosen = None
+    for part, size in sides:
+        counts = part.agg(F.countDistinct("__s").alias("__k"))
+        place = F.row_number().over(Window.partitionBy("__s").orderBy(lot(ident, seed), ident))
+        got = part.withColumn("__r", place).crossJoin(F.broadcast(counts)).where(F.col("__r") <= F.floor(F.lit(size) / F.col("__k"))).drop("__r", "__k")
+        chosen = got if chosen is None else chosen.unionByName(got)
+    rest = sides[0][0].join(chosen.select(ident), ident, "left_anti")
+    pool = chosen.withColumn("__o", F.lit(0)).unionByName(rest.withColumn("__o", F.lit(1)))
+    drawn = pool.orderBy("__o", lot(ident, seed), ident).limit(n)
+    return drawn.orderBy(lot(ident, seed + 1), ident).drop("__o", "__s")
+
+
 def shuffled_documents(df: DataFrame, doc: str, order: list[str], seed: int = 42) -> DataFrame:
     """Documents in a random order, each with its members together and in order."""
     return df.orderBy(lot(doc, seed), doc, *order)

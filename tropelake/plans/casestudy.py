@@ -219,13 +219,11 @@ def year_count(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH {FACTS}, d AS (SELECT DISTINCT episode FROM pod), c AS (SELECT episode, cluster, count(*) AS n FROM pod WHERE cluster < 50 GROUP BY ALL)
-SELECT d.episode, list_transform(range(50), lambda i: CAST(coalesce(m[i], 0) AS INTEGER)) AS counts FROM d LEFT JOIN (SELECT episode, map_from_entries(list((CAST(cluster AS BIGINT), n))) AS m FROM c GROUP BY episode) x USING (episode)""")
+@query(f"WITH {FACTS}, c AS (SELECT episode, cluster, count(*) AS n FROM pod GROUP BY ALL) SELECT episode, list(cluster ORDER BY cluster) AS clusters, list(n ORDER BY cluster) AS counts FROM c GROUP BY episode")
 def doc_cluster_matrix(spark, sf):
-    """The first 50 clusters, as its SQL has them; ``doc_cluster_sparse`` has all."""
+    """Counts over every cluster that occurs, in sparse rows."""
     rows = pod(spark, sf)
-    return A.document_cluster_matrix(rows.where("cluster < 50"), rows, "episode", "cluster", 50)
+    return A.document_cluster_rows(rows, rows, "episode", "cluster")
 
 
 @query(f"""WITH {FACTS} SELECT episode, count(*) FILTER (target_group = 'Immigrants') AS "Target Immigrants", count(*) FILTER (target_group = 'Police') AS "Target Police" FROM pod GROUP BY episode""")
@@ -252,3 +250,18 @@ def group_dictionary_sizes(spark, sf):
 
     rows = facts(spark, sf).where("target_ppto IS NOT NULL AND target_group IS NOT NULL").select(F.col("target_ppto").alias("noun_type"), "target_group", F.col("schema_group").alias("definition"))
     return group_dictionary(rows).select("noun_type", F.size("groups").cast("long").alias("n"))
+
+
+@query(f"WITH {FACTS}, g AS (SELECT target_ppto, target_group, min(schema_group) AS d FROM facts WHERE target_ppto IS NOT NULL AND target_group IS NOT NULL GROUP BY ALL) SELECT target_ppto AS noun_type, string_agg(target_group || ': ' || coalesce(d, ''), chr(10) ORDER BY target_group) AS text FROM g GROUP BY ALL")
+def group_dictionary_text(spark, sf):
+    from ..operators.features import group_text
+
+    rows = facts(spark, sf).where("target_ppto IS NOT NULL AND target_group IS NOT NULL").select(F.col("target_ppto").alias("noun_type"), "target_group", F.col("schema_group").alias("definition"))
+    return group_text(rows)
+
+
+@query("WITH d AS (SELECT string_split(id, '_')[1] AS doc, count(DISTINCT id) AS n, count(DISTINCT sent_idx) AS s FROM llm_met_scores GROUP BY ALL) SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_candidates, round(avg(n), 6) AS mean_candidates, round(avg(s), 6) AS mean_sentences FROM d")
+def candidate_statistics(spark, sf):
+    """Documents with candidates, candidates, and their and their sentences' mean number per document."""
+    per = table(spark, sf, "llm_met_scores").groupBy(F.substring_index("id", "_", 1).alias("doc")).agg(F.countDistinct("id").alias("n"), F.countDistinct("sent_idx").alias("s"))
+    return per.agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_candidates"), F.round(F.avg("n"), 6).alias("mean_candidates"), F.round(F.avg("s"), 6).alias("mean_sentences"))

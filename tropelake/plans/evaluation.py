@@ -142,3 +142,37 @@ def rubric_scores(spark, sf):
     e = table(spark, sf, "events")
     judged_ = e.select("event_id", F.get(F.array(*[F.lit(x) for x in (" true ", "False", "UNSURE", "3")]), (F.col("event_id") % 4).cast("int")).alias("q1"), F.get(F.array(F.lit("TRUE"), F.lit("not metaphorical"), F.lit(None).cast("string")), (F.col("user_id") % 3).cast("int")).alias("q2"))
     return metrics.rubric(judged_, {"total": ["q1", "q2"]}).select("event_id", "total")
+
+
+@query(f"""
+WITH {GOLD}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold),
+n AS (SELECT threshold, count(*) FILTER (score < threshold AND human < 0.5) AS tn, count(*) FILTER (score >= threshold AND human < 0.5) AS fp, count(*) FILTER (score < threshold AND human >= 0.5) AS fn, count(*) FILTER (score >= threshold AND human >= 0.5) AS tp FROM t LEFT JOIN j ON human IS NOT NULL GROUP BY threshold)
+SELECT *, {_PRF} FROM n""")
+def pr_f1_own_thresholds(spark, sf):
+    """Thresholds of our score against the human class."""
+    return metrics.threshold_report(judged(spark, sf).withColumn("y", F.col("human") >= 0.5), "score", "y", THRESHOLDS, predicted=True)
+
+
+@query(f"""
+WITH {GOLD}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), r AS (SELECT human, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM j WHERE human IS NOT NULL),
+c AS (SELECT threshold, count(*) FILTER (human >= threshold) AS p, count(*) FILTER (human < threshold) AS q, sum(k) FILTER (human >= threshold) AS s FROM t, r GROUP BY threshold)
+SELECT threshold, round((s - p * (p + 1) / 2.0) / nullif(p * q, 0), 9) AS auc FROM c""")
+def roc_auc_thresholds(spark, sf):
+    return metrics.roc_auc_thresholds(judged(spark, sf), "score", "human", THRESHOLDS).select("threshold", F.round("auc", 9).alias("auc"))
+
+
+@query(_CLASSES + """
+SELECT round(sum(tp) / sum(support), 9) AS accuracy, round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, round(sum(tp) / sum(support), 9) AS micro_f1, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall FROM q""")
+def overall_scores(spark, sf):
+    out = metrics.overall_scores(raters(spark, sf), "a", "b")
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("""
+WITH j AS (SELECT CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 3 END AS x, CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS y FROM events)
+SELECT round(avg(x + y), 9) AS total, round(avg((x = 1)::INT::DOUBLE), 9) AS "q1?", round(avg(coalesce((y = 1)::INT::DOUBLE, 0)), 9) AS "q2?" FROM j""")
+def rubric_means(spark, sf):
+    e = table(spark, sf, "events")
+    sheet = e.select(F.get(F.array(*[F.lit(x) for x in (" true ", "False", "UNSURE", "3")]), (F.col("event_id") % 4).cast("int")).alias("q1?"), F.get(F.array(F.lit("TRUE"), F.lit("not metaphorical"), F.lit(None).cast("string")), (F.col("user_id") % 3).cast("int")).alias("q2?"))
+    out = metrics.rubric_means(sheet, {"total": ["q1?", "q2?"]})
+    return out.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) for c in out.columns])

@@ -4,41 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotate, clustering, features, intrusion, metrics, nlp
+from ..functions import text as T
+from ..operators import annotate, classifier, clustering, features, intrusion, metrics, nlp, providers, relational
 from ..operators import regression as R
+from ..session import spread
 from .registry import query, table
-from .text import parsed_documents
+from .text import CLEAN, parsed_documents
 from .vectors import rows
 
 
 @query()
 def kmeans_fit(spark, sf):
-    return clustering.kmeans(rows(spark, sf).drop("label"), "v", 10, restarts=3)[0].select("vec_id", "label")
+    return clustering.kmeans(rows(spark, sf).drop("label"), "v", 10)[0].select("vec_id", "label")
 
 
 @query()
 def pckmeans_fit(spark, sf):
     base = rows(spark, sf).select("vec_id", "v", F.col("g").cast("string").alias("g"))
-    labels, _, _ = clustering.pckmeans(base, "vec_id", "v", "g", 10, w_cl=0.01, max_iter=5)
+    labels, _, _ = clustering.pckmeans(base, "vec_id", "v", "g", 10, w_cl=0.01, centroid_percentile=90)
     return labels
 
 
 @query()
 def pckmeans_history(spark, sf):
     base = rows(spark, sf).select("vec_id", "v", F.col("g").cast("string").alias("g"))
-    return clustering.pckmeans(base, "vec_id", "v", "g", 10, w_cl=0.05, start="spread", max_iter=3, parallel=True)[2]
+    return clustering.pckmeans(base, "vec_id", "v", "g", 10, w_cl=0.05, start="spread", parallel=True)[2]
 
 
 @query()
 def seeded_kmeans(spark, sf):
     base = rows(spark, sf)
     seeds = clustering.spread_centers(base, "vec_id", "v", None, 6, 0.0)
-    return clustering.lloyd(base, "vec_id", "v", seeds, max_iter=10)[0].select("vec_id", "label")
+    return clustering.lloyd(base, "vec_id", "v", seeds)[0].select("vec_id", "label")
 
 
 @query()
 def elbow_inertia(spark, sf):
-    return clustering.elbow(rows(spark, sf), "v", range(2, 6))
+    return clustering.elbow(rows(spark, sf), "v")
 
 
 @query()
@@ -46,10 +48,22 @@ def components_removed(spark, sf):
     return clustering.without_top_components(rows(spark, sf), "vec_id", "v", 10)
 
 
-@query()
+_WORDS = f"list_filter(string_split({CLEAN}, ' '), lambda w: w <> '')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+x AS (SELECT doc_id, word, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM t JOIN d USING (word)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id)
+SELECT doc_id, word, round(w / norm, 9) AS weight FROM x JOIN n USING (doc_id)""")
 def tfidf_words(spark, sf):
-    words = table(spark, sf, "llm_met_scores").select(F.lower("source_word").alias("w")).distinct().where("w IS NOT NULL").select("w", F.array("w").alias("words"))
-    return clustering.tfidf(words, "w", "words", 256)
+    """Every word of every document."""
+    words = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.words(T.clean_text(F.col("text"))).alias("words"))
+    return clustering.tfidf(words, "doc_id", "words").withColumn("weight", F.round("weight", 9))
+
+
+@query()
+def word_clusters(spark, sf):
+    return clustering.word_clusters(table(spark, sf, "llm_met_scores"), "source_word", 20)
 
 
 def _regression_input(spark, sf):
@@ -65,17 +79,20 @@ def _regression_input(spark, sf):
 @query()
 def lr_fit(spark, sf):
     rows, vector = _regression_input(spark, sf)
-    fit = R.regression(rows, "episode", "polarity", folds=3, repeats=1, vector=vector)
+    fit = R.regression(rows, "episode", "polarity", vector=vector)
     return spark.createDataFrame(list(fit.metrics.items()), "metric STRING, value DOUBLE")
 
 
 @query()
 def lr_weights(spark, sf):
+    """Weights of the fit on all training rows; they need no cross-validation."""
     rows, vector = _regression_input(spark, sf)
-    return R.regression(rows, "episode", "polarity", folds=2, repeats=1, vector=vector).weights
+    return R.regression(rows, "episode", "polarity", repeats=0, vector=vector).weights
 
 
-@query()
+@query("""
+WITH x AS (SELECT DISTINCT id, 'Literal or metaphorical?' || chr(10) || 'Source Word: ' || coalesce(source_word, '') || chr(10) || 'Target Word: ' || coalesce(target_word, '') || chr(10) || 'Sentence: ' || coalesce(sentence, '') AS t FROM llm_met_scores WHERE id NOT IN (SELECT met_id FROM clust_export WHERE met_id IS NOT NULL))
+SELECT id, ['literal', 'metaphorical'][CAST('0x' || substr(md5(t || '|42'), 1, 8) AS BIGINT) % 2 + 1] AS classification FROM x""")
 def annotate_stub(spark, sf):
     """Literal or metaphorical, of the candidates that are not annotated yet."""
     items = table(spark, sf, "llm_met_scores").select("id", "source_word", "target_word", "sentence").distinct()
@@ -91,18 +108,21 @@ def embed_stub(spark, sf):
     return features.embed(texts, "id", "sentence", features.stub_embedder(32)).select("id", "emb")
 
 
-@query()
+@query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT DISTINCT id FROM llm_met_scores)")
 def dense_index(spark, sf):
     return features.dense_index(table(spark, sf, "llm_met_scores").select("id").distinct(), "id")
 
 
-@query()
+@query("""
+WITH f AS (SELECT met_id AS id, min(source_word) AS source_word, min(target_ppto) AS p, min(target_group) AS g FROM clust_export GROUP BY met_id), s AS (SELECT source_word, min(source_image_schema_group) AS s FROM clust_export GROUP BY source_word),
+c AS (SELECT *, string_split(string_split(g, ':')[1], ' (e.g.,')[1] AS c FROM f LEFT JOIN s USING (source_word))
+SELECT id, CASE WHEN g IS NOT NULL THEN p END AS noun_classification, CASE WHEN g IS NULL THEN NULL WHEN c IN ('Immigrants', 'Police', 'Families') THEN c ELSE 'Other' END AS target_group, CASE WHEN g IS NOT NULL THEN s END AS source_image_schema_group FROM c""")
 def metaphor_features(spark, sf):
-    """Noun type, group and schema of every metaphor, as a struct."""
+    """Noun type, group and schema of every metaphor."""
     facts = table(spark, sf, "clust_export").groupBy(F.col("met_id").alias("id")).agg(*[F.min(c).alias(c) for c in ("source_word", "target_ppto", "target_group")])
     schemas = table(spark, sf, "clust_export").groupBy("source_word").agg(F.min("source_image_schema_group").alias("image_schema_group"))
     groups = facts.where("target_group IS NOT NULL").select("id", "target_group")
-    return features.metaphor_features(facts.select("id", "source_word"), facts.select("id", F.col("target_ppto").alias("noun_classification")), [groups], schemas, ["Immigrants", "Police", "Families"])
+    return features.metaphor_features(facts.select("id", "source_word"), facts.select("id", F.col("target_ppto").alias("noun_classification")), [groups], schemas, ["Immigrants", "Police", "Families"]).select("id", "features.*")
 
 
 @query()
@@ -121,3 +141,12 @@ def coref_representative(spark, sf):
     mentions = toks.where("pos = 'PRON'").select("doc_id", "sent_idx", chain, F.col("tok_idx").alias("start_tok"), F.col("tok_idx").alias("end_tok"))
     targets = toks.where("pos IN ('PRON', 'NOUN')").select(F.concat_ws("_", "doc_id", "sent_idx", "tok_idx").alias("met_id"), "doc_id", "sent_idx", F.col("tok_idx").alias("target"))
     return nlp.representative(targets, mentions, first.select(chain, "representative_text")).where("representative_text IS NOT NULL")
+
+
+@query()
+def span_classifier(spark, sf):
+    """Scores over five folds of a classifier that tells from word and sentence whether a candidate's score is over a half."""
+    rows = relational.keep_first(table(spark, sf, "llm_met_scores").where("id IS NOT NULL AND llm_met_score BETWEEN 0 AND 1"), ["id"], [F.desc("scored_at"), F.desc("llm_met_score")])
+    rows = rows.select("id", "sentence", "source_word", (F.col("llm_met_score") > 0.5).cast("int").alias("y"))
+    vectors = classifier.span_vectors(spread(rows), "id", "sentence", "source_word", providers.provider("words", dim=32), providers.provider("embedder", dim=32))
+    return classifier.evaluate(vectors.join(rows.select("id", "y"), "id"), "id", "v", "y")[1]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import aggregates, ranking, relational, sampling
+from ..operators import aggregates, features, ranking, relational, sampling
 from .registry import query, table
 
 
@@ -48,18 +49,25 @@ def eav_pivot(spark, sf):
     return relational.attributes_wide(rows, "document_id", "annotation_type", "annotation_value", ["polarity", "human_metaphor_score", "human_source_domain"])
 
 
-@query("""
-WITH e AS (SELECT episode, any_value(channel) AS channel, any_value(polarity) AS polarity FROM episodes GROUP BY episode),
-m AS (SELECT id, any_value(sentence) AS sentence, any_value(source_word) AS source_word FROM llm_met_scores GROUP BY id),
-x AS (SELECT met_id, cluster, distance, target_group, row_number() OVER (PARTITION BY met_id ORDER BY exported_at DESC) AS n FROM clust_export)
-SELECT x.met_id, x.cluster, x.target_group, m.source_word, e.channel, e.polarity FROM x LEFT JOIN m ON m.id = x.met_id
-LEFT JOIN e ON e.episode = regexp_replace(string_split(x.met_id, '_')[1], '^(.{36})-[0-9]+$', '\\1') WHERE x.n = 1""")
+@query(r"""
+WITH f AS (SELECT met_id, cluster, distance, target_group, target_ppto, source_image_schema_group, entailment_text FROM clust_export QUALIFY row_number() OVER (PARTITION BY met_id ORDER BY exported_at DESC) = 1),
+e AS (SELECT episode, min(channel) AS channel, min(polarity) AS polarity FROM episodes GROUP BY episode),
+m AS (SELECT id, min(sentence) AS sentence, min(source_word) AS source_word, min(target_word) AS target_word FROM llm_met_scores GROUP BY id),
+t AS (SELECT id, min(idx) AS idx FROM met_embeddings WHERE id IS NOT NULL GROUP BY id),
+r AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) AS INTEGER) AS clust_imp_rank FROM f WHERE cluster IS NOT NULL GROUP BY cluster)
+SELECT f.met_id, f.distance, f.cluster, r.clust_imp_rank, f.target_ppto AS noun_classification, f.target_group, f.source_image_schema_group, m.source_word, m.target_word, m.sentence, f.entailment_text, e.channel, e.polarity
+FROM f JOIN t ON t.id = f.met_id LEFT JOIN m ON m.id = f.met_id LEFT JOIN r ON r.cluster = f.cluster LEFT JOIN e ON e.episode = string_split(f.met_id, '_')[1]""")
 def star_export(spark, sf):
-    facts = relational.keep_first(table(spark, sf, "clust_export"), ["met_id"], [F.desc("exported_at")]).select("met_id", "cluster", "target_group")
-    mets = table(spark, sf, "llm_met_scores").groupBy(F.col("id").alias("met_id")).agg(F.first("source_word").alias("source_word"))
-    episodes = table(spark, sf, "episodes").groupBy("episode").agg(F.first("channel").alias("channel"), F.first("polarity").alias("polarity"))
-    rows = facts.join(mets, "met_id", "left").withColumn("episode", ids.strip_episode_chunk(ids.document(F.col("met_id"))))
-    return rows.join(episodes, "episode", "left").drop("episode")
+    """The export of embedded metaphors: every table looked up by its key.  The rank is by size; documents are whole episodes."""
+    facts = relational.keep_first(table(spark, sf, "clust_export"), ["met_id"], [F.desc("exported_at")]).withColumnRenamed("met_id", "id")
+    idx = table(spark, sf, "met_embeddings").where("id IS NOT NULL").groupBy("id").agg(F.min("idx").alias("idx"))
+    placed = facts.join(idx, "id")
+    classes = table(spark, sf, "llm_met_scores").groupBy("id").agg(*[F.min(c).alias(c) for c in ("source_word", "target_word", "sentence")])
+    docs = table(spark, sf, "episodes").groupBy(F.col("episode").alias("doc_id")).agg(F.min("channel").alias("channel"), F.min("polarity").alias("polarity"))
+    sizes = facts.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("n"))
+    importance = sizes.select("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")).alias("importance_rank"))  # a row per cluster
+    named = facts.select("id", F.struct(F.col("target_ppto").alias("noun_classification"), "target_group", "source_image_schema_group").alias("features"))
+    return features.cluster_export(placed.select("idx", F.col("cluster").alias("label")), placed.select("idx", "id", F.lit("").alias("text")), named, classes, facts.select("id", "entailment_text"), docs, importance, placed.select("idx", "distance"))
 
 
 @query("""
@@ -71,26 +79,11 @@ def interval_containment(spark, sf):
     return relational.containing(lines, spans, ["l_orderkey"], "l_linenumber", "a", "b").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""
-WITH s AS (SELECT user_id, event_type, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events WHERE epoch_us(ts) % 7 < 3 GROUP BY ALL)
-SELECT x.user_id, x.event_type AS type_a, y.event_type AS type_b FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type < y.event_type AND x.a < y.b AND x.b > y.a""")
-def interval_overlap(spark, sf):
-    """Over the events that its SQL picks; ``interval_overlap_all`` takes all."""
-    return _event_overlaps(_events(spark, sf).where("us % 7 < 3"))
-
-
 @query("""
 WITH s AS (SELECT user_id, event_type, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events GROUP BY ALL)
 SELECT x.user_id, x.event_type AS type_a, y.event_type AS type_b FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_type < y.event_type AND x.a < y.b AND x.b > y.a""")
-def interval_overlap_all(spark, sf):
-    return _event_overlaps(_events(spark, sf))
-
-
-def _events(spark, sf):
-    return table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-
-
-def _event_overlaps(events):
+def interval_overlap(spark, sf):
+    events = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     spans = events.groupBy("user_id", "event_type").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     other = spans.select("user_id", F.col("event_type").alias("type_b"), F.col("a").alias("c"), F.col("b").alias("d"))
     met = relational.overlapping(spans, other, ["user_id"], ("a", "b"), ("c", "d"))
@@ -188,23 +181,33 @@ def preferred_first_sample(spark, sf):
     return sampling.draw_each(rows, ["source"], "doc_id", 20, prefer=prefer, full_only=True).select("source", "doc_id")
 
 
+_SCORED = "scored AS (SELECT id, llm_met_score AS score FROM llm_met_scores WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY scored_at DESC, llm_met_score DESC) = 1), rated AS (SELECT * FROM scored WHERE score BETWEEN 0 AND 1)"
+
+
+def _rated(spark, sf):
+    rows = relational.keep_first(table(spark, sf, "llm_met_scores").where("id IS NOT NULL"), ["id"], [F.desc("scored_at"), F.desc("llm_met_score")])
+    return rows.where("llm_met_score BETWEEN 0 AND 1").select("id", F.col("llm_met_score").alias("score"))
+
+
 @query(f"""
-WITH r AS (SELECT event_id, round(value / 10) AS s, {LOT.format('event_id')} AS lot FROM events WHERE value < 100),
-c AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY lot, event_id) AS n FROM r)
-SELECT event_id, s FROM c ORDER BY n > 50, lot, event_id LIMIT 550""")
+WITH {_SCORED}, c AS (SELECT id, round(score, 1) AS s, {LOT.format('id')} AS lot, row_number() OVER (PARTITION BY round(score, 1) ORDER BY {LOT.format('id')}, id) AS n FROM rated)
+SELECT id, s FROM c ORDER BY n > 50, lot, id LIMIT 550""")
 def stratified_sample(spark, sf):
-    rows = table(spark, sf, "events").where("value < 100").select("event_id", F.round(F.col("value") / 10).alias("s"))
-    return sampling.draw_stratified(rows, "s", "event_id", 550, 11)
+    return sampling.draw_stratified(_rated(spark, sf).select("id", F.round("score", 1).alias("s")), "s", "id", 550, 11)
 
 
-@query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {LOT.format('source')}, source, doc_id) AS INTEGER) AS place FROM documents WHERE source IS NOT NULL QUALIFY place <= 500")
-def doc_shuffle(spark, sf):
-    """The first 500 places, as its SQL has them; ``doc_shuffle_all`` has every row's."""
-    return doc_shuffle_all(spark, sf).where("place <= 500")
+@query(f"""
+WITH {_SCORED}, c AS (SELECT id, score, score >= 0.4 AS met, {LOT.format('id')} AS lot, row_number() OVER (PARTITION BY score >= 0.4, round(score, 1) ORDER BY {LOT.format('id')}, id) AS n FROM rated),
+k AS (SELECT score >= 0.4 AS met, count(DISTINCT round(score, 1)) AS k FROM rated GROUP BY ALL),
+o AS (SELECT id, score, met, lot, n > CASE WHEN met THEN 180 ELSE 20 END // k AS o FROM c JOIN k USING (met))
+SELECT id, score FROM o WHERE met OR NOT o ORDER BY o, lot, id LIMIT 200""")
+def quota_sample(spark, sf):
+    """200 candidates to annotate, nine tenths of them metaphors, spread over scores."""
+    return sampling.draw_quota(_rated(spark, sf), "id", "score", 200, 0.4)
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {LOT.format('source')}, source, doc_id) AS INTEGER) AS place FROM documents WHERE source IS NOT NULL")
-def doc_shuffle_all(spark, sf):
+def doc_shuffle(spark, sf):
     rows = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id")
     return sampling.shuffled_places(rows, "source", ["doc_id"]).select("doc_id", F.col("place").cast("int").alias("place"))
 
@@ -232,9 +235,13 @@ def random_baseline(spark, sf):
     return sampling.random_labels(table(spark, sf, "events").select("event_id"), "event_id", ["error", "click", "view"])
 
 
-@query("SELECT source_word, sentence, id FROM (SELECT DISTINCT id, source_word, sentence FROM llm_met_scores) QUALIFY row_number() OVER (PARTITION BY source_word ORDER BY id) <= 3")
+@query("""
+WITH f AS (SELECT source_word, id, sentence, target_word FROM (SELECT DISTINCT id, source_word, sentence, target_word FROM llm_met_scores) QUALIFY row_number() OVER (PARTITION BY source_word ORDER BY id, sentence, target_word) <= 3)
+SELECT source_word, CAST(count(*) AS INTEGER) AS n, string_agg(id || ': ' || sentence, ' | ' ORDER BY id, sentence, target_word) AS examples FROM f GROUP BY source_word""")
 def verb_first_examples(spark, sf):
-    return ranking.first_n(table(spark, sf, "llm_met_scores").select("id", "source_word", "sentence").distinct(), ["source_word"], ["id"], 3)
+    rows = features.verb_examples(table(spark, sf, "llm_met_scores").select("id", "source_word", "sentence", "target_word").distinct())
+    lines = F.transform("examples", lambda e: F.concat(e["id"], F.lit(": "), e["sentence"]))
+    return rows.select("source_word", F.size("examples").alias("n"), F.array_join(lines, " | ").alias("examples"))
 
 
 @query("SELECT conv, event_id, CAST(n AS INTEGER) AS n FROM (SELECT user_id AS conv, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)")
@@ -245,3 +252,76 @@ def running_number(spark, sf):
 @query("SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY event_type")
 def quartiles(spark, sf):
     return aggregates.quartiles(table(spark, sf, "events"), ["event_type"], "value")
+
+
+# --- frames of the evaluation
+
+
+@query("""
+WITH h AS (SELECT string_split(met_id, '_')[1] AS doc, upper(min(source_word)) AS s, min(target_word) AS t FROM clust_export GROUP BY ALL)
+SELECT DISTINCT m.id FROM (SELECT id, string_split(id, '_')[1] AS doc, source_word, target_word FROM llm_met_scores) m JOIN h ON h.doc = m.doc AND lower(trim(m.source_word)) = lower(trim(h.s)) AND lower(trim(m.target_word)) = lower(trim(h.t))""")
+def annotated_pairs(spark, sf):
+    """Candidates whose words are those annotated for their document (here the first ones of its export)."""
+    doc = lambda c: ids.document(F.col(c)).alias("doc")
+    human = table(spark, sf, "clust_export").groupBy(doc("met_id")).agg(F.upper(F.min("source_word")).alias("s"), F.min("target_word").alias("t"))
+    pairs = table(spark, sf, "llm_met_scores").select("id", doc("id"), "source_word", "target_word")
+    return relational.agreeing_pairs(pairs, human, "doc", {"source_word": "s", "target_word": "t"}).select("id").distinct()
+
+
+@query("""
+WITH s AS (SELECT id, CAST(floor(5 * try_cast(annotation_value AS DOUBLE)) AS INTEGER) - 1 AS score FROM doc_annotations WHERE annotation_type = 'human_metaphor_score')
+SELECT id, CASE WHEN score > 1 THEN 1 ELSE 0 END AS score FROM s WHERE score IS NOT NULL AND score <> -1""")
+def judged_binary(spark, sf):
+    """Scores from -1, unknown, to 4 as two classes."""
+    rows = table(spark, sf, "doc_annotations").where("annotation_type = 'human_metaphor_score'")
+    rows = rows.select("id", (F.floor(5 * F.col("annotation_value").try_cast("double")) - 1).cast("int").alias("score"))
+    return relational.judged_only(rows, "score", binary=True)
+
+
+@query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN (SELECT c_custkey, c_mktsegment FROM customer) ON c_custkey = o_custkey")
+def checked_lookup(spark, sf):
+    """A lookup that raises where the two sides' keys differ."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("k"))
+    joined = relational.enrich(orders, table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("c"), "c_mktsegment"), ["k"])
+    return relational.require_equal(joined, [("o_custkey", "c")]).select("o_orderkey", "o_custkey", "c_mktsegment")
+
+
+@query("""
+WITH a AS (SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT user_id, event_type, a.n AS n_x, a.total AS total_x, b.n AS n_y, b.total AS total_y FROM a JOIN b USING (user_id, event_type)""")
+def suffix_join(spark, sf):
+    """Two raters' sheets side by side: of even and of odd events."""
+    sheet = lambda k: table(spark, sf, "events").where(F.col("event_id") % 2 == k).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return relational.suffix_join(sheet(0), sheet(1), ["user_id", "event_type"])
+
+
+@query("""
+WITH f AS (SELECT met_id, target_ppto, target_group FROM clust_export QUALIFY row_number() OVER (PARTITION BY met_id ORDER BY exported_at DESC) = 1)
+SELECT met_id, target_ppto, CASE WHEN target_ppto IN ('person', 'place', 'thing') THEN target_group END AS target_group FROM f""")
+def lookup_by_kind(spark, sf):
+    """The target group from the table of the row's noun type; organizations have none."""
+    facts = relational.keep_first(table(spark, sf, "clust_export"), ["met_id"], [F.desc("exported_at")]).select("met_id", "target_ppto", "target_group")
+    tables = {k: facts.where(F.col("target_ppto") == k) for k in ("person", "place", "thing")}
+    return relational.lookup_by_kind(facts.drop("target_group"), "target_ppto", "met_id", tables, ["target_group"]).select("met_id", "target_ppto", "target_group")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Page view' ELSE event_type END AS event_type FROM events")
+def relabelled(spark, sf):
+    return relational.relabel(table(spark, sf, "events").select("event_id", "event_type"), "event_type", {"click": "Click", "view": "Page view"})
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer ORDER BY c_custkey LIMIT 100")
+def numeric_order(spark, sf):
+    """The first hundred keys, as numbers though they are texts."""
+    return relational.numeric_order(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key")), "key").limit(100)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 50")
+def first_documents(spark, sf):
+    return relational.first_rows(table(spark, sf, "documents").select("doc_id", "source"), ["doc_id"], 50)
+
+
+@query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) SELECT c_custkey, s_suppkey FROM a LEFT JOIN b USING (n)")
+def attached_columns(spark, sf):
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("o"), "s_suppkey")
+    return relational.attach_by_position(table(spark, sf, "customer").select("c_custkey"), "c_custkey", suppliers, "o", ["s_suppkey"])

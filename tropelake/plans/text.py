@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import nlp, relational
+from ..operators import features, intrusion, nlp, providers, relational
+from ..session import spread
 from .registry import query, table
 
 SP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
@@ -47,10 +48,12 @@ WITH w AS (SELECT source, doc_id, unnest(list_filter(string_split({CLEAN}, ' '),
 d AS (SELECT source, doc_id, count(*) AS n, count(DISTINCT w) AS u FROM w GROUP BY ALL)
 SELECT source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words, round(avg(n), 6) AS mean_words, round(avg(u), 6) AS mean_distinct FROM d GROUP BY source""")
 def token_statistics(spark, sf):
-    """Documents, words and mean words and distinct words per document of every source."""
-    rows = table(spark, sf, "documents").select("source", T.words(T.clean_text(F.col("text"))).alias("w")).where(F.size("w") > 0)
-    n, u = F.size("w"), F.size(F.array_distinct("w"))
-    return rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_words"), F.round(F.avg(n), 6).alias("mean_words"), F.round(F.avg(u), 6).alias("mean_distinct"))
+    """Documents, words and mean words and distinct words per document of every source; each text is cleaned once."""
+    words = spread(table(spark, sf, "documents").select("source", "text")).select("source", T.words(T.clean_text(F.col("text"))).alias("w"))
+    sizes = words.select("source", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("u"))
+    some = F.count_if(F.col("n") > 0)
+    means = [F.round(F.sum(F.when(F.col("n") > 0, F.col(c))) / some, 6).alias(name) for c, name in (("n", "mean_words"), ("u", "mean_distinct"))]
+    return sizes.groupBy("source").agg(some.alias("n_docs"), F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("n_words"), *means).where("n_docs > 0")
 
 
 @query("""
@@ -132,7 +135,7 @@ def year_parse(spark, sf):
 
 
 @query("""
-SELECT id, CAST(floor(try_cast(annotation_value AS DOUBLE)) AS INTEGER) AS score FROM doc_annotations WHERE annotation_type = 'human_metaphor_score'""")
+SELECT id, CAST(trunc(try_cast(annotation_value AS DOUBLE)) AS INTEGER) AS score FROM doc_annotations WHERE annotation_type = 'human_metaphor_score'""")
 def score_parse(spark, sf):
     rows = table(spark, sf, "doc_annotations").where("annotation_type = 'human_metaphor_score'")
     return rows.select("id", T.parse_score(F.col("annotation_value")).alias("score"))
@@ -150,27 +153,14 @@ _WORDSET = "list_filter(list_distinct(string_split(" + collapse("lower(sentence)
 
 
 @query(f"""
-WITH s AS (SELECT DISTINCT doc_id, id, {_WORDSET} AS w FROM llm_met_scores WHERE dataset = 'tweets_immigration' AND sentence IS NOT NULL)
-SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 9) AS jaccard
-FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id""")
+WITH s AS (SELECT doc_id, list_sort({_WORDSET}) AS w, min(id) AS id, count(DISTINCT id) AS n FROM llm_met_scores WHERE sentence IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL HAVING len(w) > 0)
+SELECT a.id AS id_a, b.id AS id_b, a.n AS n_a, b.n AS n_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard
+FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8""")
 def jaccard_pairs(spark, sf):
-    """Word-set similarity of the sentences of one document, of the dataset that its SQL names; ``jaccard_pairs_all`` takes all."""
-    return _jaccard_pairs(table(spark, sf, "llm_met_scores").where("dataset = 'tweets_immigration'"))
-
-
-@query(f"""
-WITH s AS (SELECT DISTINCT doc_id, id, {_WORDSET} AS w FROM llm_met_scores WHERE sentence IS NOT NULL)
-SELECT a.id AS id_a, b.id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 9) AS jaccard
-FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.id < b.id""")
-def jaccard_pairs_all(spark, sf):
-    return _jaccard_pairs(table(spark, sf, "llm_met_scores"))
-
-
-def _jaccard_pairs(scores):
-    rows = scores.where("sentence IS NOT NULL").select("doc_id", "id", "sentence").distinct().select("doc_id", "id", T.word_set(F.col("sentence")).alias("w"))
-    other = rows.select("doc_id", F.col("id").alias("id_b"), F.col("w").alias("v"))
-    pairs = rows.join(other, "doc_id").where("id < id_b")
-    return pairs.select(F.col("id").alias("id_a"), "id_b", F.round(T.jaccard(F.col("w"), F.col("v")), 9).alias("jaccard"))
+    """Pairs of different word sets of one document's sentences with a similarity of 0.8 or more; a word set is named by its smallest id and has the number of its ids."""
+    rows = table(spark, sf, "llm_met_scores").where("sentence IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "id", F.array_sort(T.word_set(F.col("sentence"))).alias("w"))
+    sets = rows.groupBy("doc_id", "w").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n"))
+    return intrusion.similar_sets(sets, "doc_id", "id", "w", 0.8, ["n"]).select("id_a", "id_b", "n_a", "n_b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("""
@@ -192,7 +182,22 @@ def parsed_documents(spark, sf):
     return nlp.parse(table(spark, sf, "documents"), "doc_id", "text", workers=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-@query()
+_EDGE = rf"(?s)^{SP}|{SP}$"
+
+
+@query(rf"""
+WITH RECURSIVE store AS (SELECT DISTINCT id, text FROM doc_store WHERE text IS NOT NULL),
+part AS (
+  SELECT id, text, 0 AS no, 0 AS s, 0 AS e, false AS done FROM store
+  UNION ALL
+  SELECT id, text, no + 1, stop, stop, last FROM (
+    SELECT id, text, no, length(text) - s <= 42000 AS last, CASE WHEN length(text) - s <= 42000 THEN length(text) ELSE s + CASE WHEN a > 0 THEN a WHEN b > 0 THEN b WHEN c > 0 THEN c ELSE 42000 END END AS stop
+    FROM (SELECT *, length(regexp_extract(w, '(?s)^(.*[.!?]{SP})', 1)) AS a, length(regexp_extract(w, '(?s)^(.*[,;:-]{SP})', 1)) AS b, length(regexp_extract(w, '(?s)^(.* )', 1)) AS c
+          FROM (SELECT *, substr(text, s + 1, 42000) AS w FROM part WHERE NOT done)))
+),
+cut AS (SELECT id, text, no, s, lead(e) OVER (PARTITION BY id, md5(text) ORDER BY no) AS e FROM part),
+chunk AS (SELECT id, CAST(no AS INTEGER) AS chunk_idx, CASE WHEN length(text) <= 42000 THEN text ELSE regexp_replace(substr(text, s + 1, e - s), '{_EDGE}', '', 'g') END AS c FROM cut WHERE e IS NOT NULL)
+SELECT id, chunk_idx, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS digest FROM chunk""")
 def chunk_text(spark, sf):
     """Chunks of at most 42 000 characters of every text, with their place."""
     cut = T.chunks(42_000)
@@ -200,12 +205,63 @@ def chunk_text(spark, sf):
     return rows.select("id", F.posexplode(cut(F.col("text"))).alias("chunk_idx", "chunk")).select("id", "chunk_idx", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT id, sentence AS t, lower(target_word) AS w, unnest(range(length(sentence) - length(target_word) + 1)) AS i FROM llm_met_scores WHERE length(target_word) > 0)
+SELECT id, CAST(i AS INTEGER) AS start, CAST(i + length(w) AS INTEGER) AS "end" FROM p WHERE lower(substr(t, CAST(i AS BIGINT) + 1, length(w))) = w
+AND NOT regexp_matches(substr(t, CAST(i AS BIGINT), CASE WHEN i > 0 THEN 1 ELSE 0 END), '[\p{L}\p{N}_]') AND NOT regexp_matches(substr(t, CAST(i AS BIGINT) + length(w) + 1, 1), '[\p{L}\p{N}_]')""")
 def word_span_places(spark, sf):
     rows = table(spark, sf, "llm_met_scores").select("id", T.word_spans("sentence", "target_word").alias("s"))
     return rows.select("id", F.explode("s").alias("s")).select("id", "s.start", "s.end")
 
 
+@query("SELECT DISTINCT target_group AS label, CASE WHEN x IN ('immigrants', 'police', 'u.s. country') THEN x WHEN x IS NOT NULL THEN 'other' END AS clean FROM (SELECT target_group, replace(lower(trim(target_group)), 'u.s country', 'u.s. country') AS x FROM clust_export)")
+def group_repair(spark, sf):
+    clean = T.clean_group(F.col("target_group"), ["immigrants", "police", "u.s. country"])
+    return table(spark, sf, "clust_export").select(F.col("target_group").alias("label"), clean.alias("clean")).distinct()
+
+
+@query("SELECT id, CAST(strpos(sentence, source_word) - 1 AS INTEGER) AS start_char, CAST(strpos(sentence, source_word) - 1 + length(source_word) AS INTEGER) AS end_char FROM llm_met_scores WHERE strpos(sentence, source_word) > 0")
+def relative_spans(spark, sf):
+    """Places of source words in their sentences, from places in a document in which the sentence starts at 1000."""
+    rows = table(spark, sf, "llm_met_scores").where(F.instr(F.col("sentence"), F.col("source_word")) > 0).withColumn("at", F.lit(999) + F.instr(F.col("sentence"), F.col("source_word")))
+    start, end = T.relative_span(F.col("sentence"), F.lit(1000), F.col("at"), F.col("at") + F.char_length("source_word"), F.col("source_word"))
+    return rows.select("id", start.alias("start_char"), end.alias("end_char"))
+
+
+@query("SELECT met_id, exported_at, concat_ws(' ', source_word, target_word, entailment_text) AS joined FROM clust_export")
+def joined_answers(spark, sf):
+    rows = table(spark, sf, "clust_export").select("met_id", "exported_at", F.struct("source_word", "target_word", "entailment_text").alias("annotation"))
+    return rows.select("met_id", "exported_at", T.joined_values(F.col("annotation"), ["source_word", "target_word", "entailment_text"]).alias("joined"))
+
+
+def _say(name: str, column: str) -> str:
+    return f"'{name}' || chr(39) || coalesce({column}, '') || chr(39)"
+
+
+@query(f"""
+SELECT id, {_say('Specified Verb: ', 'source_word')} || chr(10) || {_say(' Sentence: ', 'sentence')} AS verb,
+{_say('Specified Verb: ', 'source_word')} || chr(10) || {_say(' Target Noun: ', 'target_word')} || chr(10) || {_say(' Sentence: ', 'sentence')} AS verb_target,
+{_say('Potential Source Word: ', 'source_word')} || chr(10) || {_say(' Sentence: ', 'sentence')} AS word FROM llm_met_scores""")
+def candidate_prompts(spark, sf):
+    from ..operators.annotate import candidate_prompt
+
+    values = {c: F.col(c) for c in ("source_word", "target_word", "sentence")}
+    return table(spark, sf, "llm_met_scores").select("id", candidate_prompt(**values).alias("verb"), candidate_prompt(target=True, **values).alias("verb_target"), candidate_prompt(False, **values).alias("word"))
+
+
+@query("SELECT id, min(llm_explanation) AS text FROM llm_met_scores WHERE llm_explanation <> '' GROUP BY id")
+def embedding_texts(spark, sf):
+    """The explanations, one of the texts that embeddings may be made of."""
+    return features.embedding_texts("explanation", table(spark, sf, "llm_met_scores").select("id", F.struct(F.col("llm_explanation").alias("explanation")).alias("annotation")))
+
+
+@query("SELECT id, CAST(CAST('0x' || substr(md5(t || '|42'), 1, 8) AS BIGINT) % 1001 AS DOUBLE) / 1000 AS score FROM (SELECT DISTINCT id, source_word || ' ' || sentence AS t FROM llm_met_scores)")
+def path_scores(spark, sf):
+    """Scores of candidate paths by a provider: here by lot."""
+    rows = table(spark, sf, "llm_met_scores").select("id", F.concat("source_word", F.lit(" "), "sentence").alias("t")).distinct()
+    return nlp.path_scores(rows, "id", "t", providers.provider("scores"))
+
+
 @query()
 def candidate_sentence_flags(spark, sf):
     toks = nlp.tokens(parsed_documents(spark, sf))
@@ -232,3 +288,21 @@ def nested_documents(spark, sf):
     sents = nlp.sentences(parsed).select("doc_id", "sent_idx", "text", "num_tokens")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
     return relational.nested(docs, sents, "doc_id", "doc_id", ["sent_idx"], "sentences")
+
+
+@query()
+def pair_errors(spark, sf):
+    return nlp.pair_errors(nlp.sentence_tokens(parsed_documents(spark, sf)))
+
+
+@query()
+def retokenized(spark, sf):
+    rows = table(spark, sf, "llm_met_scores").select("id", "sentence").distinct()
+    return nlp.retokenized(spread(rows), "id", "sentence").select(F.col("doc_id").alias("id"), "tok_idx", "text", "pos", "head", "dep")
+
+
+@query()
+def word_vectors(spark, sf):
+    """Vectors of target words in their sentences."""
+    rows = table(spark, sf, "llm_met_scores").select("id", "sentence", "target_word").distinct()
+    return features.word_vectors(spread(rows), "id", "sentence", "target_word", providers.provider("words", dim=32))

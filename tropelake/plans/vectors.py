@@ -124,12 +124,45 @@ def violations_pairs(spark, sf):
     return relational.different_pairs(rows(spark, sf), "vec_id", ["label"], ["g"])
 
 
+def _history(spark, sf):
+    """Violations under two iterations with different labels."""
+    base = rows(spark, sf)
+    turns = [relational.different_pairs(base.withColumn("l", label), "vec_id", ["l"], ["g"]).select("i", "j", F.lit(n).alias("iteration")) for n, label in enumerate((F.col("label").cast("long"), F.col("vec_id") % 5))]
+    return turns[0].unionByName(turns[1])
+
+
 @query(f"SELECT least(a.vec_id, b.vec_id) AS i, greatest(a.vec_id, b.vec_id) AS j FROM {_PAIRS} AND a.vec_id % 5 = b.vec_id % 5")
 def persistent_violations(spark, sf):
-    """Violations that two iterations with different labels share."""
+    """Violations that both iterations have."""
+    return constraints.persistent_pairs(_history(spark, sf))
+
+
+_TURNS = "h AS (SELECT a.vec_id AS i, b.vec_id AS j, (a.label = b.label)::INT + (a.vec_id % 5 = b.vec_id % 5)::INT AS n_iterations FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 3 <> b.vec_id % 3 AND (a.label = b.label OR a.vec_id % 5 = b.vec_id % 5))"
+
+
+@query(f"WITH {_TURNS} SELECT n_iterations, n_iterations / 2 AS frequency, count(*) AS n_pairs FROM h GROUP BY ALL")
+def violation_frequency(spark, sf):
+    """How many pairs occur in how many iterations."""
+    return constraints.violation_frequency(_history(spark, sf)).groupBy(F.col("n_iterations").cast("int").alias("n_iterations"), "frequency").agg(F.count("*").alias("n_pairs"))
+
+
+@query(f"WITH {_TURNS} SELECT i, j, CAST(n_iterations AS BIGINT) AS n_iterations, n_iterations / 2 AS frequency FROM h ORDER BY n_iterations DESC, i, j LIMIT 10")
+def most_violated(spark, sf):
+    return constraints.most_violated(_history(spark, sf))
+
+
+@query(f"WITH {_TURNS.replace('h AS', 'unused AS')}, c AS (SELECT count(*) FILTER (a.label = b.label) AS x, count(*) FILTER (a.vec_id % 5 = b.vec_id % 5) AS y FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 3 <> b.vec_id % 3) SELECT CASE WHEN y < x THEN 'decreasing' ELSE 'increasing' END AS trend FROM c")
+def violation_trend(spark, sf):
+    """From one iteration to the other, by counts in closed form."""
     base = rows(spark, sf)
-    turns = [relational.different_pairs(base.withColumn("l", label), "vec_id", ["l"], ["g"]).select("i", "j", F.lit(n).alias("iteration")) for n, label in enumerate((F.col("label").cast("long"), F.col("vec_id") % 5))]
-    return constraints.persistent_pairs(turns[0].unionByName(turns[1]))
+    counts = [constraints.violation_count(base.withColumn("l", label), "l", ["g"]).withColumn("iteration", F.lit(n)) for n, label in enumerate((F.col("label").cast("long"), F.col("vec_id") % 5))]
+    return constraints.violation_trend(counts[0].unionByName(counts[1]))
+
+
+@query("WITH s AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || '|42'), vec_id LIMIT 1000) SELECT round(quantile_cont(list_distance(a.v, b.v), 0.1), 6) AS threshold FROM s a JOIN s b ON a.vec_id < b.vec_id")
+def pairwise_threshold(spark, sf):
+    """The tenth percentile of the distances in a sample of at most 1000 rows, which is the operator's definition."""
+    return spark.createDataFrame([(round(constraints.pairwise_threshold(rows(spark, sf), "vec_id", "v", 10), 6),)], "threshold DOUBLE")
 
 
 @query(f"WITH {FLAT}, x AS (SELECT label, g, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT label, max(n) AS top, sum(n) AS n FROM x GROUP BY label) SELECT round(sum(top) / sum(n), 9) AS purity FROM t")

@@ -55,8 +55,48 @@ def scored_results(spark: SparkSession, path: str, metaphors_only: bool = False,
 
 
 def map_json(df: DataFrame, key: str, path: str) -> None:
-    """Rows as JSON lines ``{key, …}``, written in parallel."""
-    df.write.mode("overwrite").json(path)
+    """Rows as JSON lines ``{key: {other columns}}``, written in parallel; null keys drop out."""
+    rest = F.struct(*[c for c in df.columns if c != key])
+    line = F.to_json(F.create_map(F.col(key).cast("string"), rest))
+    df.where(F.col(key).isNotNull()).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_map_json(spark: SparkSession, key: str, schema: str, path: str) -> DataFrame:
+    """What ``map_json`` wrote: ``key`` and the columns of ``schema``."""
+    item = ", ".join(f.strip().replace(" ", ": ", 1) for f in schema.split(","))
+    rows = spark.read.text(path).select(F.explode(F.from_json("value", f"MAP<STRING, STRUCT<{item}>>")).alias(key, "r"))
+    return rows.select(key, "r.*")
+
+
+def annotated_documents(spark: SparkSession, docs: DataFrame, annotations: DataFrame, kinds: list[str], path: str, renew: bool = False) -> DataFrame:
+    """Documents with a column for each kind of annotation, worked out once and kept in ``path``."""
+    from ..operators.relational import attributes_wide
+
+    if renew or not _there(spark, path):
+        wide = attributes_wide(annotations, "document_id", "annotation_type", "annotation_value", kinds).withColumnRenamed("document_id", "id")
+        docs.join(wide, "id", "left").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at.suffix("/_SUCCESS"))
+
+
+def create_tables(spark: SparkSession, path: str) -> None:
+    """Every table of the data model that isn't in ``path`` yet, empty."""
+    from .. import schemas
+
+    for name in ("documents", "sentences", "tokens", "chains", "mentions", "doc_annotations", "sent_annotations"):
+        if not _there(spark, f"{path}/{name}"):
+            spark.createDataFrame([], getattr(schemas, name.upper())).write.parquet(f"{path}/{name}")
+
+
+def load_or_make(spark: SparkSession, path: str, make, renew: bool = False) -> DataFrame:
+    """The table in ``path``; made and written first where it isn't there."""
+    if renew or not _there(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def separate_export(examples: DataFrame, solutions: DataFrame, path: str) -> None:
