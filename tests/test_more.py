@@ -208,6 +208,11 @@ def test_new_commands(spark, tmp_path):
     assert {(r["id"], r["target_group"]) for r in got} == {("m1", "g1"), ("m2", None)}
     run("annotate-task", [("m1", "flood", "s", "people")], "id STRING, source_word STRING, sentence STRING, target_word STRING", "--task", "noun_type", "--provider", "test_more:answers", "--save-every", 1, out="ann")
     assert spark.read.parquet(str(tmp_path / "ann")).first()["annotation"]["noun_classification"] == "place"
+    (tmp_path / "model.yaml").write_text("model: none\nworkers: 2\nmax_retries: 1  # few\nsave_interval: 3\n")
+    two = [("m1", "flood", "s", "people"), ("m2", "burn", "t", "x")]
+    schema = "id STRING, source_word STRING, sentence STRING, target_word STRING"
+    got = run("annotate-task", two, schema, "--after", str(tmp_path / "ann"), "--only", "noun_classification=Place", "--config", str(tmp_path / "model.yaml"), out="chained")
+    assert [r["id"] for r in got] == ["m1"]
     rng = np.random.default_rng(0)
     rows = [(i, (np.eye(3)[i % 3] * 5 + rng.standard_normal(3)).tolist(), f"d{i}", f"word{i} w{i}") for i in range(36)]
     spark.createDataFrame([(i, v, i % 3, d, t) for i, v, d, t in rows], "id INT, emb ARRAY<DOUBLE>, label INT, doc_id STRING, text STRING").write.parquet(str(tmp_path / "placed"))

@@ -36,6 +36,12 @@ def annotate_task(spark: SparkSession, a) -> None:
     if a.sample:
         items = sampling.draw(items, a.id, a.sample, a.seed)
     answers = providers.provider("answers", a.provider, task=a.task, seed=a.seed)
+    if a.config:
+        told = results.ProviderOptions.from_yaml(a.config)
+        a.workers, a.retries, a.save_every = told.workers, told.max_retries, told.save_interval
+    if a.after:  # chained: only what an earlier task answered with FIELD=VALUE
+        field, value = a.only.split("=", 1)
+        items = items.join(annotate.matching(spark.read.parquet(a.after), field, value).select(F.col("id").alias("__after")), F.col(a.id).cast("string") == F.col("__after"), "left_semi")
     if done is not None:
         items = items.join(done.select(F.col("id").alias("__done")), F.col(a.id).cast("string") == F.col("__done"), "left_anti")
     annotate.annotate_saved(items, a.id, annotate.with_demos(text, prompt["demos"], a.shots, a.seed), a.task, answers, a.out, a.save_every, retries=a.retries, workers=a.workers)
@@ -194,7 +200,7 @@ def parser() -> argparse.ArgumentParser:
 
     vector, keys = ("vector", str, "emb"), ("feature_key", str, ["noun_classification", "target_group", "source_image_schema_group"])
     add(candidates, ("text", str, "text"), ("limit", int, 42_000), ("sample", int, 0), ("all_paths", bool, False), ("parser", str, ""))
-    add(annotate_task, ("task", str, "metaphor_class"), ("prompt_file", str, ""), ("shots", int, 0), ("done", str, ""), ("sample", int, 0), ("retries", int, 5), ("workers", int, 8), ("provider", str, ""), ("save_every", int, 100))
+    add(annotate_task, ("task", str, "metaphor_class"), ("prompt_file", str, ""), ("shots", int, 0), ("done", str, ""), ("sample", int, 0), ("retries", int, 5), ("workers", int, 8), ("provider", str, ""), ("save_every", int, 100), ("config", str, ""), ("after", str, ""), ("only", str, ""))
     add(embed, ("text", str, "text"), ("dim", int, 64), ("kind", str, "document"), ("embedder", str, ""))
     add(cannot_link, keys, ("pairs", bool, False))
     add(cluster, vector, keys, ("k", int, 100), ("use_pckmeans", bool, False), ("w_cl", float, 0.01), ("skip_init", bool, False), ("centroid_percentile", float, None), ("pairwise_percentile", float, None), ("max_iter", int, 100), ("parallel", bool, False))

@@ -102,6 +102,60 @@ def annotate_stub(spark, sf):
     return out.select("id", "annotation.classification")
 
 
+_LOT = "CAST('0x' || substr(md5(t || '|42'), 1, 8) AS BIGINT)"
+_NOUNS = "SELECT DISTINCT id, 'Noun: ' || coalesce(target_word, '') || chr(10) || 'Sentence: ' || coalesce(sentence, '') AS t FROM llm_met_scores"
+_PPTO = f"['person', 'place', 'thing', 'organization'][{_LOT} % 4 + 1]"
+
+
+def _annotated(spark, task: str, items, **values):
+    """What a provider of the task answers; here the stub, whose answers follow from the prompt's hash."""
+    rows = items.select("id", annotate.prompt(task, **values).alias("t")).distinct()
+    return annotate.annotate(rows, "id", F.col("t"), task, providers.provider("answers", task=task)).select("id", "annotation.*")
+
+
+def _mets(spark, sf):
+    return table(spark, sf, "llm_met_scores").select("id", "source_word", "target_word", "sentence")
+
+
+@query(f"SELECT id, {_PPTO} AS noun_classification FROM ({_NOUNS})")
+def annotate_noun_type(spark, sf):
+    return _annotated(spark, "noun_type", _mets(spark, sf), target_word=F.col("target_word"), sentence=F.col("sentence"))
+
+
+@query(f"SELECT id, 'answer ' || ({_LOT} % 97) AS target_group FROM (SELECT id, t || chr(10) || 'Groups: Immigrants, Police' AS t FROM ({_NOUNS}))")
+def annotate_target_group(spark, sf):
+    return _annotated(spark, "target_group", _mets(spark, sf), target_word=F.col("target_word"), sentence=F.col("sentence"), groups=F.lit("Immigrants, Police"))
+
+
+@query(f"""
+WITH f AS (SELECT source_word, id, sentence, target_word FROM (SELECT DISTINCT id, source_word, sentence, target_word FROM llm_met_scores WHERE source_word IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY source_word ORDER BY id, sentence, target_word) <= 3),
+v AS (SELECT source_word AS id, 'Verb: ' || source_word || chr(10) || 'Examples: ' || string_agg(sentence, ' / ' ORDER BY id, sentence, target_word) AS t FROM f GROUP BY source_word)
+SELECT id, ['spatial motion', 'force', 'balance', 'other'][{_LOT} % 4 + 1] AS image_schema_group FROM v""")
+def annotate_image_schema(spark, sf):
+    """Image schemas of source verbs, from their first three examples."""
+    verbs = features.verb_examples(_mets(spark, sf).where("source_word IS NOT NULL").distinct()).withColumn("id", F.col("source_word"))
+    return _annotated(spark, "image_schema", verbs, source_word=F.col("source_word"), examples=F.array_join("examples.sentence", " / "))
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT id, 'Source Word: ' || coalesce(source_word, '') || chr(10) || 'Target Word: ' || coalesce(target_word, '') || chr(10) || 'Sentence: ' || coalesce(sentence, '') AS t FROM llm_met_scores), a AS (SELECT id, 'answer ' || ({_LOT} % 97) AS x FROM p)
+SELECT id, x AS problem_def, x AS cause, x AS moral_eval, x AS treatment_rec FROM a""")
+def annotate_entailments(spark, sf):
+    return _annotated(spark, "entailments", _mets(spark, sf), **{c: F.col(c) for c in ("source_word", "target_word", "sentence")})
+
+
+@query(f"SELECT id, ['advertisement', 'podcast'][{_LOT} % 2 + 1] AS classification FROM (SELECT DISTINCT id, 'Sentence: ' || coalesce(sentence, '') AS t FROM llm_met_scores)")
+def annotate_ads(spark, sf):
+    return _annotated(spark, "ad_class", _mets(spark, sf), sentence=F.col("sentence"))
+
+
+@query(f"SELECT id FROM ({_NOUNS}) WHERE {_PPTO} = 'place'")
+def chained_filter(spark, sf):
+    """What a chained prompt goes on with: metaphors whose noun was answered to be a place."""
+    rows = _mets(spark, sf).select("id", annotate.prompt("noun_type", target_word=F.col("target_word"), sentence=F.col("sentence")).alias("t")).distinct()
+    return annotate.matching(annotate.annotate(rows, "id", F.col("t"), "noun_type", providers.provider("answers", task="noun_type")), "noun_classification", "Place").select("id")
+
+
 @query()
 def embed_stub(spark, sf):
     texts = table(spark, sf, "llm_met_scores").select("id", "sentence").distinct()

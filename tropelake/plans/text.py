@@ -306,3 +306,19 @@ def word_vectors(spark, sf):
     """Vectors of target words in their sentences."""
     rows = table(spark, sf, "llm_met_scores").select("id", "sentence", "target_word").distinct()
     return features.word_vectors(spread(rows), "id", "sentence", "target_word", providers.provider("words", dim=32))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT id, sentence, source_word, strpos(sentence, source_word) - 1 AS a, strpos(sentence, source_word) - 1 + length(source_word) AS b FROM llm_met_scores WHERE strpos(sentence, source_word) > 0),
+w AS (SELECT id, sentence, a, b, unnest(string_split(sentence, ' ')) AS w, generate_subscripts(string_split(sentence, ' '), 1) - 1 AS i FROM m),
+t AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY id, sentence, a, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w)
+SELECT id, CAST(a AS INTEGER) AS span_start, CAST(b AS INTEGER) AS span_end, CAST(min(i) AS INTEGER) AS first_tok, CAST(max(i) AS INTEGER) AS last_tok FROM t WHERE a < s + length(w) AND b > s GROUP BY id, a, b""")
+def token_spans(spark, sf):
+    """First and last token, between single spaces, of each source word's characters."""
+    rows = table(spark, sf, "llm_met_scores").where(F.instr(F.col("sentence"), F.col("source_word")) > 0).select("id", "sentence", "source_word").distinct()
+    at = F.instr(F.col("sentence"), F.col("source_word")) - 1
+    spans = rows.select("id", at.alias("span_start"), (at + F.char_length("source_word")).alias("span_end"))
+    pieces = F.split("sentence", " ")
+    begin = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda s, w: s + F.char_length(w) + 1)
+    toks = rows.select("id", "sentence", F.posexplode(pieces).alias("tok_idx", "w")).withColumn("start_char", begin(F.col("tok_idx"))).select("id", "tok_idx", "start_char", (F.col("start_char") + F.char_length("w")).alias("end_char")).distinct()
+    return nlp.token_span(toks, spans, ["id"])
