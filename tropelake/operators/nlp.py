@@ -7,9 +7,12 @@ provider is deterministic and needs no model.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,51 +41,127 @@ STUB_PRONOUNS = "i you he she it we they this that these those who".split()
 STUB_FUNCTION = {"the": "DET", "a": "DET", "an": "DET", "of": "ADP", "by": "ADP", "in": "ADP", "on": "ADP", "with": "ADP", "is": "AUX", "are": "AUX", "was": "AUX", "were": "AUX", "and": "CCONJ", "or": "CCONJ", "not": "PART", "to": "PART"}
 
 
+_TEXTS = pa.schema([("doc_id", pa.string()), ("text", pa.string())])
+#: Characters of texts that a parser is given at once, so that a worker's memory does not grow with the number of documents.
+PARSED_AT_ONCE = 1 << 18
+
+
+_KINDS = ("PUNCT", "PRON", "VERB", "NOUN", *dict.fromkeys(STUB_FUNCTION.values()))
+_DEPS = ("root", "nsubj", "dobj", "pobj", "agent", "prep", "dep")
+
+
+class _Kinds(dict):
+    """Place in ``_KINDS`` by word, worked out once for each word."""
+
+    def __missing__(self, word: str) -> int:
+        w = word.lower()
+        pos = "PUNCT" if not w[0].isalnum() and w[0] != "_" else "PRON" if w in STUB_PRONOUNS else STUB_FUNCTION.get(w) or ("VERB" if w.endswith(("ed", "ing")) else "NOUN")
+        self[word] = _KINDS.index(pos)
+        return self[word]
+
+
+def _stub_sentences(texts: Iterable[str | None]) -> pa.ListArray:
+    """The nested sentences of each text, made column by column: an object for each token would cost some ten times the memory."""
+    begin, end, token = re.compile(r"\S"), re.compile(r"[.!?](?=\s|$)"), re.compile(r"(\w+|[^\w\s])")
+    words, lengths, docs, n_words = [], [], [0], []
+    numbers, bodies, starts, stops = [], [], [], []
+    for text in texts:
+        text = text or ""
+        parts = token.split(text)  # blanks and tokens by turns
+        words += parts[1::2]
+        n_words.append(len(parts) // 2)
+        lengths += map(len, parts)
+        n, m = 0, begin.search(text)
+        while m:
+            a = m.start()
+            m = end.search(text, a + 1)
+            b = m.end() if m else len(text) - text.endswith("\n")
+            bodies.append(text[a:b])
+            numbers.append(n)
+            starts.append(a)
+            stops.append(b)
+            n, m = n + 1, begin.search(text, b)
+        docs.append(len(numbers))
+    ints, strings = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.string()))
+    n_words, n = np.array(n_words, np.int64), np.array(lengths, np.int64)
+    after, n_parts = np.cumsum(n), 2 * n_words + 1  # places in all texts, one after the other
+    opens = np.cumsum(n_parts) - n_parts
+    base = after[opens] - n[opens]  # each text's
+    is_word = (np.arange(len(n)) - np.repeat(opens, n_parts)) % 2 == 1
+    stop = after[is_word]
+    start = stop - n[is_word]
+    first = np.searchsorted(start, np.array(starts, np.int64) + np.repeat(base, np.diff(docs)))  # each sentence's first token
+    ends = np.append(first, len(words))
+    size = np.diff(ends)
+    all_, own = np.arange(len(words)), np.repeat(base, n_words)
+    nth = all_ - np.repeat(first, size)
+    kind = np.fromiter(map(_Kinds().__getitem__, words), np.int8, len(words))
+    is_ = lambda *tags: np.isin(kind, [_KINDS.index(t) for t in tags if t in _KINDS])
+    verb, noun, adp = np.append(is_("VERB"), False), is_(*NOUNS), is_("ADP")
+    to_verb = np.where(verb, np.arange(len(verb)), len(verb))[::-1]
+    to_verb = np.minimum.accumulate(to_verb)[::-1][first] - first
+    root = np.repeat(np.where(to_verb < size, to_verb, 0), size)
+    is_root = nth == root
+    last = np.maximum.accumulate(np.where(noun | adp | is_root, all_, -1), dtype=np.int64)
+    last = np.append(-1, last)[: len(words)]  # the last noun, preposition or root before each token
+    hinged = (last >= all_ - nth) & (last >= 0) & np.append(adp & ~is_root, False)[last]
+    by = is_root, noun & hinged, noun, adp
+    head = np.select(by, (-1, nth - (all_ - last), root, root), np.where(nth > 0, nth - 1, root))
+    agent = np.zeros(len(words), bool)
+    agent[adp] = [words[i].lower() == "by" for i in np.flatnonzero(adp)]
+    dep = np.select(by, (0, 3, np.where(nth < root, 1, 2), np.where(agent, 4, 5)), 6)
+    named = lambda codes, names: strings(names).take(pa.array(codes, pa.int32()))
+    fields = {"tok_idx": ints(nth), "text": strings(words), "pos": named(kind, _KINDS), "start_char": ints(start - own), "end_char": ints(stop - own), "head": ints(head), "dep": named(dep, _DEPS)}
+    tokens_ = pa.ListArray.from_arrays(ints(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    fields = {"sent_idx": ints(numbers), "text": strings(bodies), "start_char": ints(starts), "end_char": ints(stops), "tokens": tokens_}
+    return pa.ListArray.from_arrays(ints(docs), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def stub_parser(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sentences end at ``.!?`` and whitespace or at the end; words ending in -ed or -ing are verbs, other words nouns or from a short list.
 
     Heads: the first verb is the root; nouns before it are its subjects, nouns after it its objects, unless a
     preposition stands between, on which they then hang; everything else hangs on its neighbour.
     """
-    sentence, token = re.compile(r"\S.*?(?:[.!?](?=\s|$)|$)", re.S), re.compile(r"\w+|[^\w\s]")
     for frame in frames:
-        out = []
-        for text in frame["text"]:
-            parsed = []
-            for n, m in enumerate(sentence.finditer(text or "")):
-                tokens = []
-                for t in token.finditer(m.group()):
-                    w = t.group().lower()
-                    pos = "PUNCT" if not w[0].isalnum() and w[0] != "_" else "PRON" if w in STUB_PRONOUNS else STUB_FUNCTION.get(w) or ("VERB" if w.endswith(("ed", "ing")) else "NOUN")
-                    tokens.append({"tok_idx": len(tokens), "text": t.group(), "pos": pos, "start_char": m.start() + t.start(), "end_char": m.start() + t.end(), "head": -1, "dep": "root"})
-                root = next((t["tok_idx"] for t in tokens if t["pos"] == "VERB"), 0)
-                hinge = None
-                for t in tokens:
-                    i = t["tok_idx"]
-                    if i == root:
-                        hinge = None
-                    elif t["pos"] in NOUNS:
-                        t["head"], t["dep"] = (hinge, "pobj") if hinge is not None else (root, "nsubj" if i < root else "dobj")
-                        hinge = None
-                    elif t["pos"] == "ADP":
-                        t["head"], t["dep"] = (root, "agent" if t["text"].lower() == "by" else "prep")
-                        hinge = i
-                    else:
-                        t["head"], t["dep"] = (i - 1 if i else root, "dep")
-                parsed.append({"sent_idx": n, "text": m.group(), "start_char": m.start(), "end_char": m.end(), "tokens": tokens})
-            out.append(parsed)
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "sentences": out})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "sentences": _stub_sentences(frame["text"]).to_pylist()})
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in order, ``PARSED_AT_ONCE`` characters of ``text`` at a time; a longer text comes by itself."""
+    for batch in batches:
+        n = np.asarray(pc.fill_null(pc.utf8_length(batch.column("text")), 0), np.int64)
+        first, chars = 0, 0
+        for k, more in enumerate(n.tolist()):
+            if k > first and chars + more > PARSED_AT_ONCE:
+                yield batch.slice(first, k - first)
+                first, chars = k, 0
+            chars += more
+        if first < len(n):
+            yield batch.slice(first)
 
 
 def parse(docs: DataFrame, ident: str, text: str, parser: Callable = stub_parser, workers: int | None = None) -> DataFrame:
     """Parsed documents: ``doc_id`` and nested ``sentences``.  Null and empty texts have none.
 
     Parsing costs far more than moving texts: with ``workers`` they are spread over that many tasks, however few files they come from.
+    A parser gets its frames in portions of ``PARSED_AT_ONCE`` characters.
     """
     rows = docs.select(F.col(ident).cast("string").alias("doc_id"), F.col(text).alias("text"))
     if workers:
         rows = rows.repartition(workers, "doc_id")
-    return rows.mapInPandas(parser, PARSED)
+    if parser is stub_parser:  # its columns go out as they are, not by way of objects
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _portions(batches):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _stub_sentences(part.column("text").to_pylist())], ["doc_id", "sentences"])
+
+        return rows.mapInArrow(run, PARSED)
+
+    def given(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return parser(part.to_pandas() for part in _portions(pa.RecordBatch.from_pandas(f, _TEXTS, preserve_index=False) for f in frames))
+
+    return rows.mapInPandas(given, PARSED)
 
 
 def sentences(parsed: DataFrame) -> DataFrame:
@@ -205,6 +284,21 @@ def representative(targets: DataFrame, mentions: DataFrame, chains: DataFrame) -
     return targets.join(last, "met_id", "left").join(chains.select("chain_id", "representative_text"), "chain_id", "left").drop("chain_id")
 
 
+def representatives(targets: Column, mentions: Column, chains: Column) -> Column:
+    """What ``representative`` gives, inside a row and without a join: ``target`` and ``representative_text`` for each of a sentence's ``targets``.
+
+    ``mentions`` are the sentence's, structs with ``start_tok``, ``end_tok`` and ``chain_id``; ``chains`` is a map from chains to their texts.
+    """
+
+    def text(r: Column, i: Column) -> Column:
+        held = F.filter(r["mentions"], lambda m: i.between(m["start_tok"], m["end_tok"]))
+        last = F.array_max(F.transform(held, lambda m: F.struct(m["start_tok"].alias("a"), m["end_tok"].alias("b"), m["chain_id"].alias("chain_id"))))
+        return F.try_element_at(r["chains"], last["chain_id"])
+
+    once = F.array(F.struct(targets.alias("targets"), mentions.alias("mentions"), chains.alias("chains")))  # not worked out again for each target
+    return F.flatten(F.transform(once, lambda r: F.transform(r["targets"], lambda i: F.struct(i.alias("target"), text(r, i).alias("representative_text")))))
+
+
 def token_span(tokens_: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
     """First and last token that overlaps a span of characters (ends exclusive)."""
     from .relational import overlapping
