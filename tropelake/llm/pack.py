@@ -33,10 +33,7 @@ class Bins:
         out = []
         while count:
             k = self._best(item)
-            each = self._fit(self.left[k] if k >= 0 else self.capacity, item)
-            if self.rule == "dot" and k >= 0:  # a fuller bin need not be the better one
-                each = 1
-            each = min(each, count)
+            each = min(self._run(self.left[k], item) if k >= 0 else self._fit(self.capacity, item), count)
             bins = count // each if k < 0 else min(count // each, len(self.names[k]))
             if k < 0:
                 taken, left = list(range(self.made, self.made + bins)), self.capacity
@@ -55,18 +52,29 @@ class Bins:
     def _fit(left: np.ndarray, item: np.ndarray) -> int:
         return int((left // item).min())
 
+    def _run(self, left: np.ndarray, item: np.ndarray) -> int:
+        """Items that the best bin gets before another bin is as good.  With the norm, the bin just used stays the best as long as it has room."""
+        fit = self._fit(left, item)
+        if self.rule == "norm" or fit == 1:
+            return fit
+        score = self._score(left - np.arange(fit)[:, None] * item, item)
+        worse = np.flatnonzero(score[1:] >= score[0])
+        return int(worse[0]) + 1 if len(worse) else fit
+
+    def _score(self, left: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Least where the item fits best."""
+        if self.rule == "norm":
+            return (((left - item) / self.capacity) ** 2) @ self.weights
+        r = left / self.capacity  # the residual that points most along the item, for its length
+        return -((r * (item / self.capacity)) @ self.weights) / ((r * r) @ self.weights)
+
     def _best(self, item: np.ndarray) -> int:
-        """The class that fits best, -1 where none has room.  With the norm, the bin just used stays the best as long as it has room."""
+        """The class that fits best, -1 where none has room."""
         left = self.left[: len(self.names)]
         room = np.flatnonzero((left >= item).all(axis=1))
         if not len(room):
             return -1
-        if self.rule == "norm":
-            score = (((left[room] - item) / self.capacity) ** 2) @ self.weights
-        else:  # the residual that points most along the item, for its length
-            r = left[room] / self.capacity
-            score = -((r * (item / self.capacity)) @ self.weights) / ((r * r) @ self.weights)
-        return int(room[score.argmin()])
+        return int(room[self._score(left[room], item).argmin()])
 
     def _keep(self, left: np.ndarray, names: list[int]) -> None:
         if (left <= 0).any():
@@ -94,12 +102,13 @@ def pack(counts: DataFrame, ident: str, size: str, capacity: int = 512, max_item
 
     A bin holds at most ``capacity`` tokens, ``max_items`` pieces and ``attention`` * capacity² of attention cost, the sum
     of its pieces' squared lengths.  An item that is over one of these by itself is cut into the fewest pieces, largest
-    ones and one rest; others stay whole.  At an ``attention`` of 1 or more the cost follows from the tokens, and the
-    dimension is left out; so are pieces when ``max_items`` is at least ``capacity``.
+    ones and one rest; others stay whole.  All three count for the best fit, also where one can't be exceeded: at an
+    ``attention`` of 1 or more the cost keeps its limit if the tokens do, but bins of the same tokens differ in it.
 
     Pieces of ``capacity`` are bins by themselves.  The others are spread by a hash over shards of about ``shard_items``,
     in each of which they go, longest first, to the bin of best fit: ``rule`` is "norm" (least ``weights``-weighted
-    squared norm of the free rest) or "dot" (largest weighted dot-product).  Bins of equal residuals are one class and
+    squared norm of the free rest) or "dot" (largest weighted dot-product with the residual, over the residual's squared
+    norm).  Bins of equal residuals are one class and
     pieces of one length are placed together, so the work grows with lengths and classes, not with pieces.  A shard
     leaves its last bins partly empty, a share that falls as shards grow.
 
@@ -113,8 +122,7 @@ def pack(counts: DataFrame, ident: str, size: str, capacity: int = 512, max_item
     items = checkpointed(items)
     cost = math.floor(attention * capacity**2)
     most = min(capacity, math.isqrt(cost))
-    used = [0] + [1] * (max_items < capacity) + [2] * (attention < 1)
-    limits, factors = np.array([capacity, max_items, cost], np.int64)[used], np.array(weights, float)[used]
+    limits, factors = np.array([capacity, max_items, cost], np.int64), np.array(weights, float)
     starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(most))
     pieces = items.select("id", "n", F.posexplode(starts).alias("k", "start_token")).select("id", (F.col("k") + 1).alias("piece_no"), "start_token", F.least(F.lit(most), F.col("n") - F.col("start_token")).alias("n_tokens"))
     total = pieces.where(F.col("n_tokens") < capacity).count()
@@ -131,7 +139,7 @@ def pack(counts: DataFrame, ident: str, size: str, capacity: int = 512, max_item
             for a, b in zip(edges, edges[1:]):
                 if s[a] != shard:
                     shard, bins = s[a], Bins(limits, rule, factors)
-                names[a:b] = bins.put(np.array([n[a], 1, n[a] * n[a]])[used], b - a)
+                names[a:b] = bins.put(np.array([n[a], 1, n[a] * n[a]]), b - a)
             named = pc.binary_join_element_wise(batch.column("shard").cast(pa.string()), pa.array(names).cast(pa.string()), "-")
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "piece_no", "start_token", "n_tokens")], named], names=["id", "piece_no", "start_token", "n_tokens", "bin"])
 
