@@ -58,10 +58,12 @@ r AS (SELECT cluster, CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) A
 SELECT f.met_id, f.distance, f.cluster, r.clust_imp_rank, f.target_ppto AS noun_classification, f.target_group, f.source_image_schema_group, m.source_word, m.target_word, m.sentence, f.entailment_text, e.channel, e.polarity
 FROM f JOIN t ON t.id = f.met_id LEFT JOIN m ON m.id = f.met_id LEFT JOIN r ON r.cluster = f.cluster LEFT JOIN e ON e.episode = string_split(f.met_id, '_')[1]""")
 def star_export(spark, sf):
-    """The export of embedded metaphors: every table looked up by its key.  The rank is by size; documents are whole episodes."""
+    """The export of embedded metaphors: every table looked up by its key.  The rank is by size; documents are whole episodes.
+
+    A metaphor is known by its id throughout, as an ``idx`` of the embeddings may be null or stand for several.
+    """
     facts = relational.keep_first(table(spark, sf, "clust_export"), ["met_id"], [F.desc("exported_at")]).withColumnRenamed("met_id", "id")
-    idx = table(spark, sf, "met_embeddings").where("id IS NOT NULL").groupBy("id").agg(F.min("idx").alias("idx"))
-    placed = facts.join(idx, "id")
+    placed = relational.only(facts, table(spark, sf, "met_embeddings").select("id"), ["id"]).withColumn("idx", F.col("id"))
     classes = table(spark, sf, "llm_met_scores").groupBy("id").agg(*[F.min(c).alias(c) for c in ("source_word", "target_word", "sentence")])
     docs = table(spark, sf, "episodes").groupBy(F.col("episode").alias("doc_id")).agg(F.min("channel").alias("channel"), F.min("polarity").alias("polarity"))
     sizes = facts.where("cluster IS NOT NULL").groupBy("cluster").agg(F.count("*").alias("n"))
